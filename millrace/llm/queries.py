@@ -6,17 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, minhash_join, mixing, url_filter
+from millrace.llm import exact_dedup, fingerprint, language, minhash_join, mixing, secret_scan, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_words")
+
+
 def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(_read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(_read(spark, sf_dir, "documents")))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -30,7 +46,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_minhash_join": op2_minhash_join,
+    "op4_fingerprint": op4_fingerprint,
+    "op5_toxicity": op5_toxicity,
+    "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
     "op9_redirect_rules": op9_redirect_rules,
     "op10_exact_dedup": op10_exact_dedup,
