@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, fingerprint, language, minhash_join, mixing, secret_scan, toxicity, url_filter
+from millrace.llm import exact_dedup, fingerprint, language, license_scan, minhash_join, mixing, packing, secret_scan, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The production tokenizer, by its public package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_words")
 
@@ -21,6 +28,10 @@ def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
@@ -48,8 +63,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_minhash_join": op2_minhash_join,
+    "op3_license_scan": op3_license_scan,
     "op4_fingerprint": op4_fingerprint,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
     "op9_redirect_rules": op9_redirect_rules,
