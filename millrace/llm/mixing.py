@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import cut
+from millrace.llm.shared import BROADCAST_ROWS, cut
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -125,3 +125,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = goals.select("source", "source_size", "target")
     out = rows.join(taken, "row", "left").alias("o").join((F.broadcast(goals) if few else goals).alias("g"), F.col("o.source").eqNullSafe(F.col("g.source")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with each row as often as the mix takes it: taken / size, rounded; rows without words or an id stay once.
+
+    The times that are not 1 are broadcast if they are few (counted), else joined by shuffle.
+    """
+    times = mixed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    times = cut(times.where("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("_times")).where("_times <> 1"))
+    times = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times.hint("merge")
+    placed = docs.join(times, docs[id_col].cast("long") == F.col("_id"), "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
+    return placed.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
