@@ -37,7 +37,8 @@ def words(text: Column) -> Column:
 
 def last_tag(text: Column, tag: str) -> Column:
     """The trimmed content of the last <tag>...</tag>; null if there is none."""
-    return F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(-1)))
+    found = F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(-1))
+    return F.regexp_replace(found, r"(?U)^\s+|\s+$", "")
 
 
 def file_name(title: Column, most: int = 200) -> Column:

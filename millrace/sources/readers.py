@@ -50,7 +50,7 @@ def runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         "expectations",
         F.concat(notes("uncertainties"), notes("needs_review"), notes("workarounds")).alias("notes"),
     )
-    return out, graded.where("corrupt is not null").select("path", "corrupt")
+    return out, graded.where("corrupt is not null and summary is null").select("path", "corrupt")
 
 
 def with_eval_id(runs_: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -98,8 +98,8 @@ def json_events(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def markdown(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(file, text) of Markdown files, whole."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive)
-    return read.text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    read = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive)
+    return read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
 
 
 def document_lines(texts: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
@@ -127,7 +127,7 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
 
 def code_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(suffix, files, lines) of a source tree."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     return files.groupBy(F.lower(F.regexp_extract(F.col("_metadata.file_path"), r"\.([^./]+)$", 1)).alias("suffix")).agg(F.count("*").alias("files"), F.sum(F.size(F.split("value", "\n"))).alias("lines"))
 
 

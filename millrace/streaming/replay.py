@@ -62,8 +62,8 @@ def decide(events: DataFrame, key: str, order: str, kind: str, candidate: str, b
     return events.groupBy(key).agg(end.alias("_e")).select(key, F.when(F.col("_e.s") == "yes", "accepted").when(F.col("_e.s") == "no", "rejected").otherwise("open").alias("decision"), F.length("_e.buffer").alias("gathered"))
 
 
-def decide_stream(events: DataFrame, key: str, kind: str, candidate: str, stops: list[str], timeout_ms: int = 30_000) -> DataFrame:
-    """The state machine over a stream: (key, decision), one row when a key is decided or its time is out."""
+def decide_stream(events: DataFrame, key: str, kind: str, candidate: str, stops: list[str], timeout_ms: int | None = 30_000) -> DataFrame:
+    """The state machine over a stream: (key, decision), one row when a key is decided or its time (None: no limit) is out."""
     import pandas as pd
 
     key_type = dict(events.dtypes)[key]
@@ -84,7 +84,7 @@ def decide_stream(events: DataFrame, key: str, kind: str, candidate: str, stops:
                     yield pd.DataFrame({key: [k[0]], "decision": ["accepted" if now == "pending" else "rejected"]})
                     now = "done"
         state.update((now,))
-        if now != "done":
+        if now != "done" and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, decision string", "now string", "append", "ProcessingTimeTimeout")
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, decision string", "now string", "append", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")

@@ -103,7 +103,7 @@ def test_state_machine_stream_equals_batch(spark, tmp_path):
     batch = {r.user: r.decision for r in replay.decide(df, "user", "event_id", "kind", "click", "body", F.lit(True), ["error"]).collect() if r.decision != "open"}
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = replay.decide_stream(stream, "user", "kind", "click", ["error"]).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = replay.decide_stream(stream, "user", "kind", "click", ["error"], None).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert {r.user: r.decision for r in spark.table("decided").collect()} == batch == {"a": "accepted", "b": "rejected"}
 
@@ -115,5 +115,5 @@ def fetch(root, cursor):
 
 def test_paged_source(spark):
     spark.dataSource.register(readers.PagedSource)
-    got = spark.read.format("paged").option("roots", "x,y").option("fetch", f"{__name__}:fetch").load()
+    got = spark.read.format("paged").option("roots", "x,y").option("fetch", "tests.test_sources_and_streams:fetch").load()
     assert got.count() == 12
