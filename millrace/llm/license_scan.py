@@ -113,10 +113,11 @@ PASSAGES = (
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(label, keyword, priority, confidence, pattern), ordered: each name in each form, then the passages.
 
-    A later name in NAMES of the same priority loses to a longer match only; of equal intervals the first label by
+    A name that says "license" itself needs no such word after it. A later name in NAMES of the same priority loses to a longer match only; of equal intervals the first label by
     name stays.
     """
-    named = [(label, keyword if "{name}" in form else "spdx", priority, confidence, form.format(name=name, tag=tag)) for label, keyword, name, tag in NAMES for priority, confidence, form in FORMS]
+    whole = lambda form, name: form.replace("(?:{name}) licen[sc]e", "(?:{name})(?: licen[sc]e)?") if " license" in name else form
+    named = [(label, keyword if "{name}" in form else "spdx", priority, confidence, whole(form, name).format(name=name, tag=tag)) for label, keyword, name, tag in NAMES for priority, confidence, form in FORMS]
     return [*named, *PASSAGES]
 
 

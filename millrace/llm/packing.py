@@ -44,10 +44,8 @@ def encoder(path: str):
     simple = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not told.get("normalizer")
     if not simple or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
         return slow
-    try:
-        import tiktoken
-    except ImportError:
-        return slow
+    import tiktoken
+
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100 on
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     special = {x["content"]: x["id"] for x in told.get("added_tokens", [])}
