@@ -18,7 +18,7 @@ def rows(frame: pd.DataFrame) -> list[str]:
         if v is None or v is pd.NA or v != v:
             return None
         if isinstance(v, (float, np.floating)):
-            return round(float(v), 6)
+            return int(v) if float(v).is_integer() else round(float(v), 6)  # a column with gaps comes back as floats
         return int(v) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else v
 
     return sorted(repr(tuple(plain(v) for v in r)) for r in frame.astype(object).itertuples(index=False, name=None))
