@@ -5,7 +5,8 @@ Pairs that share at least `matches` coordinates are candidates. Coordinates that
 merge, and of the others only a prefix of the rarest is merged: two signatures with `matches` equal coordinates must
 meet in the rarest `live - matches + 1` of each. Long postings are skipped in pair-wise merging as far as they can
 be: their members are first tested against one of them, and members that are already connected are never paired
-again. What is left is joined in full, so no candidate is lost. Each link is confirmed on the full shingle sets.
+again. What is still apart after that is joined once more on the rarest shingles of the full sets, by positions that
+leave no link out. Each link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BROADCAST_ROWS, components, cut
+from millrace.llm.shared import BROADCAST_ROWS, components, cut, tidy
 from millrace.llm.words import mix, shingle_sets
 
 #: Signature coordinates and equal ones that make a candidate: a pair at similarity 0.8 is missed once in a million.
 COORDINATES, MATCHES = 32, 14
 #: Rounds of tests against one member of each posting before the rest is joined pair by pair.
-ROUNDS = 4
+ROUNDS = 2
+#: Counts of shingles by hash that order the sets in that join.
+SLOTS = 1 << 18
 
 _rng = np.random.default_rng(977)
 _A = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,6 +85,53 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
+def overlapping(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts (doc_id, comp, text) of different components whose full shingle sets can be similar enough.
+
+    Every set is ordered by how frequent its shingles are (in a table of SLOTS counts, so that any hash has a place in
+    one order for all sets). Two sets with an overlap of at least o must share a shingle among the first n - o + 1 of
+    each; o follows from both sizes, so only rare shingles meet, and no link is lost.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in shingle_sets(batch.column(0), width):
+                total += np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if len(x) > SLOTS // 8 else 0
+                if len(x) <= SLOTS // 8:
+                    np.add.at(total, (x % np.uint64(SLOTS)).astype(np.int64), 1)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["slot", "n"])
+
+    counts = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS short rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    table = texts.sparkSession.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, places, tokens = [], [], [], []
+            for i, x in enumerate(shingle_sets(batch.column(2), width)):
+                n = len(x)
+                seen = table.value[(x % np.uint64(SLOTS)).astype(np.int64)]
+                first = np.lexsort((x, seen))[: n - -(-n * percent // 100) + 1]
+                place = np.flatnonzero(seen[first] > 1)
+                rows.append(np.full(len(place), i))
+                sizes.append(np.full(len(place), n))
+                places.append(place + 1)
+                tokens.append(x[first][place].view(np.int64))
+            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            put = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), put(sizes), put(places), put(tokens)], ["rep", "comp", "n", "place", "token"])
+
+    posts = cut(texts.select("doc_id", "comp", "text").mapInArrow(post, "rep long, comp long, n long, place long, token long"))
+    met = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    posts = posts.join(met, "token")
+    side = lambda x: posts.select("token", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
+    least = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    return side("a").join(side("b"), "token").where(f"a > b and ca <> cb and pa <= na - {least} + 1 and pb <= nb - {least} + 1").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id, kept).
 
@@ -101,13 +151,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = postings.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("live"))  # `coordinates` entries at most
     live = live.where(F.size("live") >= matches).select("rep", F.slice("live", F.lit(1), F.size("live") - (matches - 1))["key"].alias("keys"))
     dense = cut(live.join(reps.select("rep", "n", "sig"), "rep"))
-    prefix = dense.select("rep", "n", "sig", F.explode("keys").alias("key"))
+    prefix = dense.select("rep", F.explode("keys").alias("key"))
 
     count = dense.count()
     ids = dense.select(F.col("rep").alias("doc_id"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = cut(texts.join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids.hint("merge"), "doc_id", "left_semi"))
-    alike = f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {matches} and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    alike = f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {round(coordinates * percent / 160)} and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
     links = None
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -116,28 +166,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.unionByName(found)
         return components(links)
 
-    def hub(pick: str) -> DataFrame:
-        """Each member of a posting with one of its members, if their signatures agree."""
+    def hub(now: DataFrame, pick: str) -> DataFrame:
+        """Each member of a posting with one of its members, if their signatures agree well."""
         first = now.groupBy("key").agg(F.min(F.expr(pick)).alias("hub"))
         pairs = now.join(first, "key").where("comp <> hub.comp").select("rep", F.col("hub.rep").alias("other")).distinct()
         pairs = pairs.join(dense.select("rep", F.col("n").alias("na"), F.col("sig").alias("sa")), "rep").join(dense.select(F.col("rep").alias("other"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "other")
         return pairs.where(alike).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
 
-    now = prefix.select("key", "rep", F.col("rep").alias("comp"))
-    label = tested(hub("struct(rep, comp)")) if count else None
-    for k in range(ROUNDS if count else 0):
-        now = cut(prefix.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "sig", F.coalesce("component", "rep").alias("comp")))
-        open_ = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
-        size = open_.agg(F.sum((F.col("members") * F.col("members") - F.col("same")) / 2), F.sum("members")).first()
-        if not size[0]:
-            break
-        now = now.join(open_.select("key"), "key")
-        if size[0] <= 4 * size[1] or k == ROUNDS - 1:
-            side = lambda x: now.select("key", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-            pairs = side("a").join(side("b"), "key").where(f"a > b and ca <> cb and {alike}").select("a", "b").distinct()
-            label = tested(pairs)
+    label = None
+    for k in range(ROUNDS + 1 if count else 0):
+        now = prefix.select("key", "rep", F.col("rep").alias("comp"))
+        if label is not None:
+            now = now.drop("comp").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        now = cut(now)
+        open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        now = cut(now.join(open_, "key"))
+        del open_
+        tidy(docs.sparkSession)
+        if not now.limit(1).count():
             break
-        label = tested(hub(f"struct(xxhash64(rep, {k}), rep, comp)"))
+        if k < ROUNDS:
+            label = tested(hub(now, "struct(rep, comp)" if k == 0 else f"struct(xxhash64(rep, key, {k}), rep, comp)"))
+        else:
+            rest = cut(now.select(F.col("rep").alias("doc_id"), "comp").distinct())
+            few = rest.count() <= BROADCAST_ROWS
+            label = tested(overlapping(texts.join(F.broadcast(rest) if few else rest.hint("merge"), "doc_id"), width, percent))
 
     named = reps.select("h1", "h2", "rep")
     if label is not None:

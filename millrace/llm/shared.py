@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of tables that nothing refers to any more.
+
+    Spark deletes them when the driver collects its garbage, which a driver with little to do may put off for the
+    whole of an iteration; on many partitions those files are what fills the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_ids(df: DataFrame, ids: DataFrame, on: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join with a narrow table of distinct ids, broadcast only if its counted rows are at most `limit`."""
     rows = ids.count() if rows is None else rows
@@ -57,6 +68,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array_distinct(F.array(F.col("u"), F.col("v")))).alias("u"), F.col("m").alias("v")).where(u != v).distinct()
         now = cut(small)
+        del both, low, large, small
+        tidy(edges.sparkSession)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
