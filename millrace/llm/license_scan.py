@@ -1,8 +1,8 @@
 """License scans with ordered signature rules, in DataFrame operations only.
 
-Rules are regular expressions over the text's words joined by single blanks. A text that holds none of a few stems is
-not looked at; of the others, a rule runs only if its keyword is among the words. Detections are word intervals; one
-that lies within another of higher priority (or within a longer one of the same priority) is suppressed.
+Rules are regular expressions over the text's words joined by single blanks. A rule runs only if its keyword is among
+the words. Detections are word intervals; one that lies within another of higher priority (or within a longer one of
+the same priority) is suppressed.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: (words of a phrase, label)
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: A text without any of these stems fits no rule.
-STEMS = ("licen", "copyright", "copyleft", "spdx", "public domain", "redistribution", "permission", "warranty")
 
 # Label, keyword, name as a pattern over lower-case words, words of its identifier.
 NAMES = (
@@ -147,21 +145,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(n).alias("priority"), F.lit(c).alias("score"), F.lit(f"(?<![^ ])(?:{pattern})(?![^ ])").alias("pattern")) for label, word, n, c, pattern in rules()])
     keywords = F.array(*[F.lit(x) for x in sorted({r[1] for r in rules()})])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    low = F.lower(F.col("text"))
-    gate = None
-    for stem in STEMS:
-        gate = low.contains(stem) if gate is None else gate | low.contains(stem)
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    df = _barrier(df, words=F.when(gate, F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))), plain=F.when(gate, F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD)))).drop("text")
+    df = _barrier(df, words=F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))).drop("text")
     words = F.col("words")
     places = []
     for phrase, label in base:
         parts = phrase.split()
         starts = F.when(F.size(words) >= len(parts), F.filter(F.sequence(F.lit(1), F.size(words) - (len(parts) - 1)), _stands(words, parts))).otherwise(F.array().cast("array<int>"))
         places.append(F.struct(F.lit(label).alias("label"), F.when(F.array_contains(words, parts[0]), starts).otherwise(F.array().cast("array<int>")).alias("at")))
-    df = _barrier(df, base=F.when(words.isNotNull(), F.array(*places)), norm=F.array_join(words, " "), found=F.array_intersect(words, keywords), n_words=F.when(words.isNotNull(), F.size(words)).otherwise(F.col("plain")).cast("long")).drop("words", "plain")
+    df = _barrier(df, base=F.array(*places), norm=F.array_join(words, " "), found=F.array_intersect(words, keywords), n_words=F.size(words).cast("long")).drop("words")
     gated = F.filter(table, lambda r: F.array_contains(F.col("found"), r["keyword"]))
     df = _barrier(df, fit=F.when(F.size("found") > 0, gated)).drop("found")
     runs = F.transform("fit", lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score"), F.regexp_extract_all(F.col("norm"), r["pattern"], F.lit(0)).alias("hits"), r["pattern"].alias("pattern")))

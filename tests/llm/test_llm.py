@@ -295,6 +295,16 @@ def test_license_base_and_rules(spark, odd, none):
     assert license_scan.scan(odd).count() == len(ROWS) and license_scan.scan(none).count() == 0
 
 
+def test_license_texts_without_usual_stems(spark):
+    texts = {
+        "Released under the GPL": "gpl", "Distributed under the terms of the MIT": "mit", "Available under Apache 2.0": "apache-2.0", "Proprietary and confidential.": "proprietary", "dedicated to the public\ndomain": "public-domain",
+        "placed in the public-domain": "public-domain", "The origin of this software must not be misrepresented;": "zlib", "All advertising materials mentioning features or use of this software must display": "bsd-4-clause",
+        "Neither the name of X nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+    }
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values()))
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
