@@ -1,14 +1,17 @@
 """License scans with ordered signature rules, in DataFrame operations only.
 
-Rules are regular expressions over the text's words joined by single blanks. A rule runs only if its keyword is among
-the words. Detections are word intervals; one that lies within another of higher priority (or within a longer one of
-the same priority) is suppressed.
+Rules are regular expressions over the text's words joined by single blanks. A rule runs only if the words
+hold a first word, a rare word and a last word of its spellings, of which every match has one each. Detections are
+word intervals; one that lies within another of higher priority (or within a longer one of the same priority) is
+suppressed.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -19,63 +22,66 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: (words of a phrase, label)
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Label, keyword, name as a pattern over lower-case words, words of its identifier.
+#: Stands for what a repeated dot matches.
+GAP = "\0"
+
+# Label, name as a pattern over lower-case words, words of its identifier.
 NAMES = (
-    ("mit", "mit", "mit", "mit"),
-    ("mit-0", "mit", "mit no attribution|mit 0", "mit 0"),
-    ("x11", "x11", "x11", "x11"),
-    ("isc", "isc", "isc", "isc"),
-    ("apache-1.1", "apache", "apache(?: software)? license(?: version| v)? 1 1", "apache 1 1"),
-    ("apache-2.0", "apache", "apache(?: software)? license(?: version| v)? ?2(?: 0)?|apache(?: version)? 2(?: 0)?", "apache 2 0"),
-    ("apache", "apache", "apache(?: software)?", "apache"),
-    ("gpl-1.0", "general", "(?:gnu )?general public license(?: version| v)? 1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "general", "(?:gnu )?general public license(?: version| v)? 2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "general", "(?:gnu )?general public license(?: version| v)? 3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl", "gpl", "(?:gnu )?gpl(?: ?v?[123](?: 0)?)?", "gpl"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public license(?: version| v)? 2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license(?: version| v)? 3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?", "lgpl"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public license(?: version| v)? 3(?: 0)?", "agpl 3 0(?: only| or later)?"),
-    ("agpl", "agpl", "(?:gnu )?agpl(?: ?v?3(?: 0)?)?", "agpl"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation", "gfdl 1 [123]"),
-    ("bsd-2-clause", "bsd", "(?:2|two|simplified|freebsd)(?: clause)? bsd|bsd 2 clause", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:3|three|new|modified|revised)(?: clause)? bsd|bsd 3 clause", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:4|four|original)(?: clause)? bsd|bsd 4 clause", "bsd 4 clause"),
-    ("bsd", "bsd", "bsd(?: style)?", "bsd"),
-    ("0bsd", "0bsd", "0bsd|zero clause bsd", "0bsd"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? 1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version| v)? 2(?: 0)?", "mpl 2 0"),
-    ("mpl", "mpl", "mpl(?: ?v?[12](?: [01])?)?", "mpl"),
-    ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? 1(?: 0)?", "epl 1 0"),
-    ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? 2(?: 0)?", "epl 2 0"),
-    ("edl-1.0", "eclipse", "eclipse distribution license(?: version| v)? 1(?: 0)?", "edl 1 0"),
-    ("cddl", "cddl", "cddl(?: 1 [01])?|common development and distribution", "cddl 1 [01]"),
-    ("cpl-1.0", "common", "common public license(?: version| v)? 1(?: 0)?", "cpl 1 0"),
-    ("eupl", "eupl", "eupl(?: ?v?1 [0-2])?|european union public", "eupl 1 [0-2]"),
-    ("artistic-2.0", "artistic", "artistic license(?: version| v)? 2(?: 0)?", "artistic 2 0"),
-    ("artistic", "artistic", "artistic", "artistic 1 0"),
-    ("bsl-1.0", "boost", "boost software(?: license)?(?: version| v)?(?: 1 0)?", "bsl 1 0"),
-    ("busl-1.1", "business", "business source", "busl 1 1"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("psf-2.0", "python", "python software foundation|python", "psf 2 0"),
-    ("ofl-1.1", "font", "(?:sil )?open font", "ofl 1 1"),
-    ("odbl-1.0", "database", "open database|open data commons", "odbl 1 0"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("ms-pl", "microsoft", "microsoft public", "ms pl"),
-    ("osl-3.0", "open", "open software license(?: version| v)? 3(?: 0)?", "osl 3 0"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?", "cc0 1 0"),
-    ("cc-by-4.0", "cc", "cc by 4 0|cc by", "cc by 4 0"),
-    ("cc-by-sa-4.0", "cc", "cc by sa(?: 4 0)?", "cc by sa 4 0"),
-    ("cc-by-nd-4.0", "cc", "cc by nd(?: 4 0)?", "cc by nd 4 0"),
-    ("cc-by-nc-4.0", "cc", "cc by nc(?: 4 0)?", "cc by nc 4 0"),
-    ("cc-by-nc-sa-4.0", "cc", "cc by nc sa(?: 4 0)?", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc", "cc by nc nd(?: 4 0)?", "cc by nc nd 4 0"),
-    ("cc-by", "creative", "creative commons attribution", "cc by [123] [05]"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike", "cc by sa [123] [05]"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial", "cc by nc [123] [05]"),
-    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:ative|ative work|ative works|atives|s)", "cc by nd [123] [05]"),
+    ("mit", "mit", "mit"),
+    ("mit-0", "mit no attribution|mit 0", "mit 0"),
+    ("x11", "x11", "x11"),
+    ("isc", "isc", "isc"),
+    ("apache-1.1", "apache(?: software)? license(?: version| v)? 1 1", "apache 1 1"),
+    ("apache-2.0", "apache(?: software)? license(?: version| v)? ?2(?: 0)?|apache(?: version)? 2(?: 0)?", "apache 2 0"),
+    ("apache", "apache(?: software)?", "apache"),
+    ("gpl-1.0", "(?:gnu )?general public license(?: version| v)? 1(?: 0)?", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2.0", "(?:gnu )?general public license(?: version| v)? 2(?: 0)?", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3.0", "(?:gnu )?general public license(?: version| v)? 3(?: 0)?", "gpl 3 0(?: only| or later)?"),
+    ("gpl", "(?:gnu )?gpl(?: ?v?[123](?: 0)?)?", "gpl"),
+    ("lgpl-2.1", "(?:gnu )?lesser general public license(?: version| v)? 2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", "(?:gnu )?lesser general public license(?: version| v)? 3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl", "(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?", "lgpl"),
+    ("agpl-3.0", "(?:gnu )?affero general public license(?: version| v)? 3(?: 0)?", "agpl 3 0(?: only| or later)?"),
+    ("agpl", "(?:gnu )?agpl(?: ?v?3(?: 0)?)?", "agpl"),
+    ("gfdl", "(?:gnu )?free documentation", "gfdl 1 [123]"),
+    ("bsd-2-clause", "(?:2|two|simplified|freebsd)(?: clause)? bsd|bsd 2 clause", "bsd 2 clause"),
+    ("bsd-3-clause", "(?:3|three|new|modified|revised)(?: clause)? bsd|bsd 3 clause", "bsd 3 clause"),
+    ("bsd-4-clause", "(?:4|four|original)(?: clause)? bsd|bsd 4 clause", "bsd 4 clause"),
+    ("bsd", "bsd(?: style)?", "bsd"),
+    ("0bsd", "0bsd|zero clause bsd", "0bsd"),
+    ("mpl-1.1", "mozilla public license(?: version| v)? 1 1", "mpl 1 1"),
+    ("mpl-2.0", "mozilla public license(?: version| v)? 2(?: 0)?", "mpl 2 0"),
+    ("mpl", "mpl(?: ?v?[12](?: [01])?)?", "mpl"),
+    ("epl-1.0", "eclipse public license(?: version| v)? 1(?: 0)?", "epl 1 0"),
+    ("epl-2.0", "eclipse public license(?: version| v)? 2(?: 0)?", "epl 2 0"),
+    ("edl-1.0", "eclipse distribution license(?: version| v)? 1(?: 0)?", "edl 1 0"),
+    ("cddl", "cddl(?: 1 [01])?|common development and distribution", "cddl 1 [01]"),
+    ("cpl-1.0", "common public license(?: version| v)? 1(?: 0)?", "cpl 1 0"),
+    ("eupl", "eupl(?: ?v?1 [0-2])?|european union public", "eupl 1 [0-2]"),
+    ("artistic-2.0", "artistic license(?: version| v)? 2(?: 0)?", "artistic 2 0"),
+    ("artistic", "artistic", "artistic 1 0"),
+    ("bsl-1.0", "boost software(?: license)?(?: version| v)?(?: 1 0)?", "bsl 1 0"),
+    ("busl-1.1", "business source", "busl 1 1"),
+    ("zlib", "zlib(?: libpng)?", "zlib"),
+    ("unlicense", "(?:the )?unlicense", "unlicense"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("psf-2.0", "python software foundation|python", "psf 2 0"),
+    ("ofl-1.1", "(?:sil )?open font", "ofl 1 1"),
+    ("odbl-1.0", "open database|open data commons", "odbl 1 0"),
+    ("postgresql", "postgresql", "postgresql"),
+    ("ms-pl", "microsoft public", "ms pl"),
+    ("osl-3.0", "open software license(?: version| v)? 3(?: 0)?", "osl 3 0"),
+    ("cc0-1.0", "cc0(?: 1 0)?", "cc0 1 0"),
+    ("cc-by-4.0", "cc by 4 0|cc by", "cc by 4 0"),
+    ("cc-by-sa-4.0", "cc by sa(?: 4 0)?", "cc by sa 4 0"),
+    ("cc-by-nd-4.0", "cc by nd(?: 4 0)?", "cc by nd 4 0"),
+    ("cc-by-nc-4.0", "cc by nc(?: 4 0)?", "cc by nc 4 0"),
+    ("cc-by-nc-sa-4.0", "cc by nc sa(?: 4 0)?", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "cc by nc nd(?: 4 0)?", "cc by nc nd 4 0"),
+    ("cc-by", "creative commons attribution", "cc by [123] [05]"),
+    ("cc-by-sa", "creative commons attribution share ?alike", "cc by sa [123] [05]"),
+    ("cc-by-nc", "creative commons attribution non ?commercial", "cc by nc [123] [05]"),
+    ("cc-by-nd", "creative commons attribution no ?deriv(?:ative|ative work|ative works|atives|s)", "cc by nd [123] [05]"),
 )
 # How a license is named; priority, confidence, pattern around the name.
 FORMS = (
@@ -85,40 +91,83 @@ FORMS = (
     (35, 0.9, "(?:distributed|available|provided|published|covered|governed) (?:under|by) (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)?"),
     (20, 0.7, "(?:{name}) licen[sc]e"),
 )
-# Label, keyword, priority, confidence, passage of the license's own text.
+# Label, priority, confidence, passage of the license's own text.
 PASSAGES = (
-    ("mit", "hereby", 60, 1.0, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "hereby", 60, 1.0, "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistributions", 60, 0.9, "redistributions? of source code must retain the above copyright notice"),
-    ("bsd-3-clause", "endorse", 62, 1.0, "neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products"),
-    ("bsd-4-clause", "advertising", 62, 1.0, "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2.0", "compliance", 60, 1.0, "you may not use this file except in compliance with the license"),
-    ("gpl", "redistribute", 60, 1.0, "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", 61, 1.0, "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", "redistribute", 61, 1.0, "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("mpl-2.0", "mozilla", 60, 1.0, "subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
-    ("epl-2.0", "accompanying", 60, 0.9, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("unlicense", "unencumbered", 60, 1.0, "free and unencumbered software released into the public domain"),
-    ("public-domain", "domain", 30, 0.8, "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("zlib", "origin", 60, 0.9, "the origin of this software must not be misrepresented"),
-    ("bsl-1.0", "boost", 60, 1.0, "distributed under the boost software license version 1 0"),
-    ("proprietary", "proprietary", 30, 0.6, "proprietary and confidential"),
-    ("all-rights-reserved", "reserved", 10, 0.5, "copyright .{0,60}all rights reserved"),
-    ("no-warranty", "warranty", 5, 0.4, "without warranty of any kind express or implied"),
+    ("mit", 60, 1.0, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", 60, 1.0, "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", 60, 0.9, "redistributions? of source code must retain the above copyright notice"),
+    ("bsd-3-clause", 62, 1.0, "neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 62, 1.0, "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", 60, 1.0, "you may not use this file except in compliance with the license"),
+    ("gpl", 60, 1.0, "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", 61, 1.0, "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", 61, 1.0, "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mpl-2.0", 60, 1.0, "subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("epl-2.0", 60, 0.9, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("unlicense", 60, 1.0, "free and unencumbered software released into the public domain"),
+    ("public-domain", 30, 0.8, "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    ("zlib", 60, 0.9, "the origin of this software must not be misrepresented"),
+    ("bsl-1.0", 60, 1.0, "distributed under the boost software license version 1 0"),
+    ("proprietary", 30, 0.6, "proprietary and confidential"),
+    ("all-rights-reserved", 10, 0.5, "copyright .{0,60}all rights reserved"),
+    ("no-warranty", 5, 0.4, "without warranty of any kind express or implied"),
 )
 
 
-def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, priority, confidence, pattern), ordered: each name in each form, then the passages.
+def rules() -> list[tuple[str, int, float, str]]:
+    """(label, priority, confidence, pattern), ordered: each name in each form, then the passages.
 
     A name that says "license" itself needs no such word after it. A later name in NAMES of the same priority loses to a longer match only; of equal intervals the first label by
     name stays.
     """
     whole = lambda form, name: form.replace("(?:{name}) licen[sc]e", "(?:{name})(?: licen[sc]e)?") if " license" in name else form
-    named = [(label, keyword if "{name}" in form else "spdx", priority, confidence, whole(form, name).format(name=name, tag=tag)) for label, keyword, name, tag in NAMES for priority, confidence, form in FORMS]
+    named = [(label, priority, confidence, whole(form, name).format(name=name, tag=tag)) for label, name, tag in NAMES for priority, confidence, form in FORMS]
     return [*named, *PASSAGES]
 
 
+def spellings(pattern: str) -> list[str]:
+    """All texts that a rule's pattern matches, with GAP for a repeated dot."""
+
+    def either(i: int) -> tuple[list[str], int]:
+        out, i = row(i)
+        while pattern[i : i + 1] == "|":
+            more, i = row(i + 1)
+            out += more
+        return out, i
+
+    def row(i: int) -> tuple[list[str], int]:
+        out = [""]
+        while i < len(pattern) and pattern[i] not in "|)":
+            if pattern.startswith("(?:", i):
+                part, i = either(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                end = pattern.index("]", i) + 1
+                part, i = re.findall(pattern[i:end], "0123456789abcdefghijklmnopqrstuvwxyz"), end
+            elif pattern[i] == ".":
+                part, i = [GAP], pattern.index("}", i) + 1
+            else:
+                part, i = [pattern[i]], i + 1
+            if pattern[i : i + 1] == "?":
+                part, i = ["", *part], i + 1
+            out = [a + b for a in out for b in part]
+        return out, i
+
+    return list(dict.fromkeys(either(0)[0]))
+
+
+@cache
+def keywords() -> list[tuple[list[str], list[str], list[str]]]:
+    """For each rule its spellings' first words, their words that fewest rules have, and their last words.
+
+    A word beside a gap may be longer in a text, so it does not count.
+    """
+    split = [[[w for w in x.split(" ") if GAP not in w] for x in spellings(r[-1])] for r in rules()]
+    common = Counter(w for rule in split for w in {w for x in rule for w in x})
+    rare = lambda x: min(x, key=lambda w: (common[w], -len(w), w))
+    return [(sorted({x[0] for x in rule}), sorted({rare(x) for x in rule}), sorted({x[-1] for x in rule})) for rule in split]
+
+
 def _blanks(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -142,8 +191,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     empty; texts of any length are read whole; repeated rows are scanned each; other columns are not read; an empty
     table gives no rows.
     """
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(n).alias("priority"), F.lit(c).alias("score"), F.lit(f"(?<![^ ])(?:{pattern})(?![^ ])").alias("pattern")) for label, word, n, c, pattern in rules()])
-    keywords = F.array(*[F.lit(x) for x in sorted({r[1] for r in rules()})])
+    told = lambda words: F.array(*map(F.lit, words))
+    table = F.array(*[
+        F.struct(F.lit(label).alias("label"), told(first).alias("first"), told(rare).alias("rare"), told(last).alias("last"), F.lit(n).alias("priority"), F.lit(c).alias("score"), F.lit(f"(?<![^ ])(?:{pattern})(?![^ ])").alias("pattern"))
+        for (label, n, c, pattern), (first, rare, last) in zip(rules(), keywords(), strict=True)
+    ])
+    known = told(sorted({w for rule in keywords() for words in rule for w in words}))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -155,8 +208,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
         parts = phrase.split()
         starts = F.when(F.size(words) >= len(parts), F.filter(F.sequence(F.lit(1), F.size(words) - (len(parts) - 1)), _stands(words, parts))).otherwise(F.array().cast("array<int>"))
         places.append(F.struct(F.lit(label).alias("label"), F.when(F.array_contains(words, parts[0]), starts).otherwise(F.array().cast("array<int>")).alias("at")))
-    df = _barrier(df, base=F.array(*places), norm=F.array_join(words, " "), found=F.array_intersect(words, keywords), n_words=F.size(words).cast("long")).drop("words")
-    gated = F.filter(table, lambda r: F.array_contains(F.col("found"), r["keyword"]))
+    df = _barrier(df, base=F.array(*places), norm=F.array_join(words, " "), found=F.array_intersect(words, known), n_words=F.size(words).cast("long")).drop("words")
+    gated = F.filter(table, lambda r: F.arrays_overlap("found", r["rare"]) & F.arrays_overlap("found", r["first"]) & F.arrays_overlap("found", r["last"]))
     df = _barrier(df, fit=F.when(F.size("found") > 0, gated)).drop("found")
     runs = F.transform("fit", lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score"), F.regexp_extract_all(F.col("norm"), r["pattern"], F.lit(0)).alias("hits"), r["pattern"].alias("pattern")))
     df = _barrier(df, runs=F.filter(runs, lambda r: F.size(r["hits"]) > 0)).drop("fit")

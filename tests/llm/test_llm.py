@@ -305,6 +305,28 @@ def test_license_texts_without_usual_stems(spark):
     assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values()))
 
 
+def test_license_rules_run_on_all_their_spellings(spark):
+    shortest = {}
+    for k, ((label, priority, _, pattern), sets) in enumerate(zip(license_scan.rules(), license_scan.keywords(), strict=True)):
+        texts = [x.replace("\0", "x") for x in license_scan.spellings(pattern)]
+        for text in texts:
+            words = text.split(" ")
+            assert re.fullmatch(pattern, text) and all(set(words) & set(s) for s in sets), (label, text)
+            for w in set(words) & set(sets[1]):
+                old = shortest.get((k, w), (text,))[0]
+                shortest[k, w] = (min(text, old, key=len), label, priority)
+    rows = [(i, *x) for i, x in enumerate(shortest.values())]
+    for r in license_scan.scan(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").coalesce(2)).collect():
+        _, text, label, priority = rows[r.doc_id]
+        assert any((d.start, d.end) == (0, len(text.split(" "))) and d.priority >= priority for d in r.detections), (label, text)
+    texts = {
+        "Licensed under the GPLv3": "gpl", "Licensed under LGPLv2": "lgpl", "licensed under AGPLv3": "agpl", "licensed under MPLv2": "mpl", "Common Development and Distribution License": "cddl", "European Union Public Licence": "eupl",
+        "Open Data Commons License": "odbl-1.0", "Licensed under Zero Clause BSD": "0bsd",
+    }
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values()))
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
