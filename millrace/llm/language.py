@@ -200,8 +200,9 @@ def label(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_c
                 starts, ends = words(buffer)
                 first = np.searchsorted(starts, at)
                 counts[a:e] = np.diff(first)
-                for i in np.flatnonzero(np.diff(first)):  # non-ASCII words may be marks without a letter
-                    if not buffer[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace").isascii() and counts[a + i] < 64 and not any(c.isalpha() for c in buffer[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")):
+                ascii_letters = np.concatenate([[0], np.cumsum((buffer >= 97) & (buffer <= 122))])
+                for i in np.flatnonzero((np.diff(first) > 0) & (ascii_letters[at[1:]] == ascii_letters[at[:-1]])):  # non-ASCII words may be marks without a letter
+                    if not any(c.isalpha() for c in set(buffer[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace"))):
                         counts[a + i] = 0
                 if names:
                     chance = marginals(sums(buffer, starts, ends, SIZES, weights), first, trans)

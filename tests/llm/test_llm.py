@@ -176,6 +176,15 @@ def test_language_learns_and_rejects(spark, odd, none):
     assert language.identify(odd).count() == len(ROWS) and language.identify(none).count() == 0
 
 
+def test_language_of_many_marks_without_letters(spark):
+    docs = [(i, "the thing with water" if i % 2 else "eau avec maison chose", ("fr", "en")[i % 2]) for i in range(60)]
+    marks = ["12 🙂 " * n for n in (63, 64, 500)] + ["٣ " * 200, "€ 5 – " * 100]
+    docs += [(900 + i, m, None) for i, m in enumerate(marks)] + [(990, "🙂 " * 200 + "être", None), (991, "🙂 " * 200 + "a", None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert all((got[900 + i].lang_pred, got[900 + i].score) == ("und", 0.0) for i in range(len(marks)))
+    assert got[990].lang_pred != "und" and got[991].lang_pred != "und"
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     k, lengths = 3, [1, 0, 5, 2, 7]
