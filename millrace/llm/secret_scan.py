@@ -78,6 +78,8 @@ def battery(token: str) -> tuple[float, float]:
         return 1.0, 0.0
     letters, body = _ALPHABETS[name], token.rstrip("=")
     n, a = len(body), len(_ALPHABETS[name])
+    if n < 2:  # padding only: no neighbours to test
+        return 1.0, 0.0
     at = np.array([letters.index(c) for c in body])
     counts = np.bincount(at, minlength=a)
     chi = float((counts.astype(float) ** 2).sum()) * a / n - n

@@ -284,6 +284,12 @@ def test_secrets(spark, odd, none):
     assert secret_scan.scan(odd).count() == len(ROWS) and secret_scan.scan(none).count() == 0
 
 
+def test_secret_candidates_of_padding(spark):
+    assert secret_scan.battery("x" + "=" * 16) == (1.0, 0.0)
+    frame = spark.createDataFrame([(1, "x" + "=" * 16), (2, "Title_" + "=" * 40), (3, "=" * 40)], "doc_id long, text string")
+    assert [r.spans for r in secret_scan.report(secret_scan.scan(frame)).collect()] == [""] * 3
+
+
 def test_license_base_and_rules(spark, odd, none):
     assert len(license_scan.rules()) >= 200
     texts = [
