@@ -41,22 +41,26 @@ def address(url: Column) -> Column:
 
 
 def canonical(url: Column, html: Column) -> Column:
-    """The address that a page's canonical link or refresh names, made absolute; null if there is none."""
+    """The addresses that a page's canonical links and refreshes name, made absolute; an empty array if there are none."""
     html = F.coalesce(html, F.lit(""))
-    link = F.regexp_extract(F.regexp_extract(html, _LINK, 0), r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    fresh = F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    to = F.coalesce(F.nullif(link, F.lit("")), F.nullif(fresh, F.lit("")))
+    marked = F.lower(html).contains("canonical") | F.lower(html).contains("http-equiv")  # cheap test before the patterns
+    named = lambda tag, at: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, at, 1))
+    links = named(_LINK, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)")
+    fresh = named(_REFRESH, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)")
     root = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
     scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
     folder = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(?:[^?#]*/)?", 0)
-    absolute = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(scheme, to))
-        .when(to.startswith("/"), F.concat(root, to))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), to))
-    )
-    marked = F.lower(html).contains("canonical") | F.lower(html).contains("http-equiv")  # cheap test before the patterns
-    return F.when(marked & to.isNotNull() & (root != ""), address(absolute))
+
+    def absolute(to: Column) -> Column:
+        return (
+            F.when(to.contains("://"), to)
+            .when(to.startswith("//"), F.concat(scheme, to))
+            .when(to.startswith("/"), F.concat(root, to))
+            .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), to))
+        )
+
+    to = F.array_distinct(F.transform(F.filter(F.concat(links, fresh), lambda x: x != ""), lambda x: address(absolute(x))))
+    return F.when(marked & (root != ""), to).otherwise(F.array().cast("array<string>"))
 
 
 def fits(at: Column, under: Column, rule_host: str, rule_path: str) -> Column:
@@ -84,15 +88,15 @@ def match(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> D
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """One row per row of pages: (page_id, host, path, rule, verdict).
 
-    Edges come from the pages' canonical links and refreshes, and from `redirects` (from_url, to_url) if given.
+    Edges come from all canonical links and refreshes of the pages, and from `redirects` (from_url, to_url) if given.
     A null url, or one without ://, has empty host and path, fits no rule, has no alias and is allowed. Null or very
     long html, repeated urls and other columns do no harm; an empty table gives no rows.
     """
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), *([F.col(html_col).cast("string").alias("html")] if html_col else []))
-    rows = base.select("page_id", address(F.col("url")).alias("node"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), (canonical(F.col("url"), F.col("html")) if html_col else F.lit(None).cast("string")).alias("to"))
+    rows = base.select("page_id", address(F.col("url")).alias("node"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), (canonical(F.col("url"), F.col("html")) if html_col else F.array().cast("array<string>")).alias("to"))
     rows = cut(match(rows, rules))
-    edges = rows.where("to is not null and host <> ''").select(F.col("node").alias("u"), F.col("to").alias("v"))
+    edges = rows.where("host <> ''").select(F.col("node").alias("u"), F.explode("to").alias("v"))
     if redirects is not None:
         edges = edges.unionByName(redirects.where(F.col("from_url").contains("://") & F.col("to_url").contains("://")).select(address(F.col("from_url")).alias("u"), address(F.col("to_url")).alias("v")))
     alias = components(edges)

@@ -161,6 +161,16 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_every_link_and_refresh_of_a_page_is_an_edge(spark):
+    own, away = "<link rel=canonical href='http://me.net/a'>", '<meta http-equiv="refresh" content="0; url=http://b.com/de/1">'
+    pages = [
+        (1, "http://me.net/a", own + away), (2, "http://two.net/a", "<link rel=canonical href='http://two.net/b'><link rel=canonical href='http://b.com/de/2'>"), (3, "http://two.net/b", ""),
+        (4, "http://none.net/", None), (5, None, own + away), (6, "http://three.net/", "<meta http-equiv=refresh content='0'>" + away.replace("/1", "/3")),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block"}
+
+
 def test_language_learns_and_rejects(spark, odd, none):
     rng = random.Random(5)
     stems = {"en": ["the", "thing", "with", "house", "water"], "fr": ["eau", "maison", "avec", "chose", "être"], "de": ["haus", "wasser", "mit", "ding", "schön"]}
