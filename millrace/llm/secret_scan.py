@@ -1,7 +1,9 @@
 """Secrets in whole texts: fixed patterns, and strings that a battery of randomness tests tells from natural ones.
 
 A candidate is a maximal run of [A-Za-z0-9+/=_-] of at least `SHORTEST` characters that mixes character classes or
-has at least `LONG` characters. Its encoding is inferred from the classes that occur. For that encoding's alphabet
+has at least `LONG` characters; so is each part of a run between inner =, and, where a part mixes the symbols of two
+alphabets, each part of it without the one pair, the other or both. Its encoding is inferred from the classes that
+occur. For that encoding's alphabet
 the battery takes the chi-squared statistic of uniformity, the runs of one class and the correlation of neighbours.
 Against chance each has a z score; a candidate that is far from random in sum is left alone. Against natural text
 (letters of uneven frequency, classes that rarely change) the first two have p-values, which fall with the length of
@@ -119,6 +121,21 @@ def base_spans(text: str, has_hex: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def parts(token: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: its parts between inner =, those of mixed symbols cut at symbols.
+
+    Only the last part keeps its padding. A mixed part is cut at +/, at -_ and at all four, as either pair may belong
+    to a secret.
+    """
+    found = []
+    for m in re.finditer(r"[^=]+(?:=+\Z)?", token):
+        cuts = [m.span()]
+        if set(m[0]) & set("+/") and set(m[0]) & set("-_"):
+            cuts = sorted({(m.start() + x.start(), m.start() + x.end()) for inside in (r"[^+/]+", r"[^-_]+", r"[^-_+/]+") for x in re.finditer(inside, m[0])})
+        found += [(s, e) for s, e in cuts if e - s >= SHORTEST]
+    return [(s, e) for s, e in found if e - s >= LONG or len(set(_CLASS[np.frombuffer(token[s:e].encode(), np.uint8)].tolist())) > 1]
+
+
 def _candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, _ = spans(data, offsets, _RUN)
     size = ends - starts
@@ -146,10 +163,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     base[at + i] = [{"start": s, "end": e, "kind": k} for s, e, k in base_spans(text, i in hexes)]
             for s, e, i in zip(*(x.tolist() for x in _candidates(data, offsets)), strict=True):
                 token = data[s:e].tobytes().decode()
-                p, chance = battery(token)
                 first = len(data[offsets[i] : s].tobytes().decode("utf-8", "replace"))
-                score = min(BINS - 1, int(-math.log10(max(p, 1e-300)) / BIN)) if chance >= LEAST else -1
-                tests[at + i].append({"start": first, "end": first + e - s, "band": min(BANDS - 1, (e - s).bit_length()), "bin": score})
+                for u, v in parts(token):
+                    p, chance = battery(token[u:v])
+                    score = min(BINS - 1, int(-math.log10(max(p, 1e-300)) / BIN)) if chance >= LEAST else -1
+                    tests[at + i].append({"start": first + u, "end": first + v, "band": min(BANDS - 1, (v - u).bit_length()), "bin": score})
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPAN), pa.array(tests, _TEST)], ["doc_id", "base", "tests"])
 
 
@@ -171,7 +189,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     """One row per row of docs: (doc_id, spans), spans an array of (start, end, kind) by start, then kind as in KINDS.
 
     Offsets are code points, the end is exclusive. Spans of the fixed patterns always stay; a random string is added
-    unless it lies within one of them. A null or empty text has none; long texts are read whole; repeated rows are
+    unless it lies within one of them or within a longer random string. A null or empty text has none; long texts are read whole; repeated rows are
     scanned each; other columns are not read; an empty table gives no rows.
     """
     kinds = "doc_id long, base array<struct<start:long,end:long,kind:int>>, tests array<struct<start:long,end:long,band:int,bin:int>>"
@@ -179,6 +197,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     least = discovered(seen, rate)
     limits = F.array(*(F.lit(least.get(b, BINS + 1)) for b in range(BANDS)))
     hit = F.filter("tests", lambda t: (t["bin"] >= F.element_at(limits, t["band"] + 1)) & ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
+    hit = F.filter(hit, lambda t: ~F.exists(hit, lambda o: (o["start"] <= t["start"]) & (o["end"] >= t["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])))
     more = F.transform(hit, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(3).alias("kind")))
     ordered = F.array_sort(F.transform(F.concat("base", more), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return seen.select("doc_id", F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"))).alias("spans"))

@@ -300,6 +300,19 @@ def test_secret_candidates_of_padding(spark):
     assert [r.spans for r in secret_scan.report(secret_scan.scan(frame)).collect()] == [""] * 3
 
 
+def test_secrets_within_longer_runs(spark):
+    rng = random.Random(8)
+    secret = lambda letters, k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + letters, k=k))
+    plain, signed = secret("", 40), secret("+/", 42) + "=="
+    cases = [("CLIENT_KEY=", plain), ("sig=", signed), ("AWS_X=", plain), ("hooks/T00_x-y/", plain), ("v1-team_a/", secret("", 20) + "-" + secret("-_", 23)), ("some/path-to_x/", plain)]
+    frame = spark.createDataFrame([(i, f"é {a}{b} end") for i, (a, b) in enumerate(cases)], "doc_id long, text string")
+    rows = {r.doc_id: r.spans.split(",") for r in secret_scan.report(secret_scan.scan(frame)).collect()}
+    for i, (a, b) in enumerate(cases):
+        found = [tuple(map(int, x.split(":")[1:])) for x in rows[i] if x.startswith("random:")]
+        want = 2 + len(a), 2 + len(a) + len(b)
+        assert want in found if "=" in a else any(2 <= s <= want[0] and e == want[1] for s, e in found), (i, a, b, rows[i])
+
+
 def test_license_base_and_rules(spark, odd, none):
     assert len(license_scan.rules()) >= 200
     texts = [
