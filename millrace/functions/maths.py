@@ -29,14 +29,16 @@ def bounce_out(t: Column) -> Column:
 
 
 def elastic(t: Column, way: str) -> Column:
-    """A spring: in, out or in_out."""
-    ends = lambda inner: F.when(t <= 0, 0.0).when(t >= 1, 1.0).otherwise(inner)
+    """A spring: in, out or in_out. Two and a half swings on the way; the ends are exact."""
+    swing = lambda x, lag: F.pow(F.lit(2.0), 10 * x) * F.sin((x + lag) * (5 * math.pi))
+    fall = lambda x: F.pow(F.lit(2.0), -10 * x) * F.sin((x - 0.1) * (5 * math.pi))
+    ends = lambda inner: F.when((t == 0) | (t == 1), t.cast("double")).otherwise(inner)
     if way == "in":
-        return ends(-F.pow(F.lit(2.0), 10 * t - 10) * F.sin((10 * t - 10.75) * (2 * math.pi / 3)))
+        return ends(-swing(t - 1, -0.1))
     if way == "out":
-        return ends(F.pow(F.lit(2.0), -10 * t) * F.sin((10 * t - 0.75) * (2 * math.pi / 3)) + 1)
-    wave = F.sin((20 * t - 11.125) * (2 * math.pi / 4.5))
-    return ends(F.when(t < 0.5, -F.pow(F.lit(2.0), 20 * t - 10) * wave / 2).otherwise(F.pow(F.lit(2.0), -20 * t + 10) * wave / 2 + 1))
+        return ends(fall(t) + 1)
+    both = 2 * t - 1
+    return ends(F.when(both < 0, -swing(both, -0.1) / 2).otherwise(fall(both) / 2 + 1))
 
 
 _BACK = 1.70158
@@ -56,6 +58,9 @@ CURVES: dict[str, Curve] = {
     "back_in_out": lambda t: F.when(t < 0.5, F.pow(2 * t, 2) * ((_BACK * 1.525 + 1) * 2 * t - _BACK * 1.525) / 2).otherwise((F.pow(2 * t - 2, 2) * ((_BACK * 1.525 + 1) * (2 * t - 2) + _BACK * 1.525) + 2) / 2),
 }
 
+# Short names of curves.
+CURVES |= {short: CURVES[long] for short, long in (("ease_in", "ease_in_quad"), ("ease_out", "ease_out_quad"), ("ease_in_out", "ease_in_out_quad"), ("bounce", "bounce_in_out"), ("elastic", "elastic_in_out"))}
+
 
 def ease(name: str, t: Column) -> Column:
     """A curve by name; an unknown name is linear."""

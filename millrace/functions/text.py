@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the CJK characters that count as words.
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
+# Markdown marks that are taken off, in this order, and what stays of each.
+MARKS = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),  # images
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),  # links
+    (r"\*\*(.*?)\*\*|__(.*?)__", "$1$2"),  # bold
+    (r"\*(.*?)\*|_(.*?)_", "$1$2"),  # italic
+    (r"`([^`]*)`", "$1"),  # code
+    (r"<[^>]+>", ""),  # tags
+)
+
+
 def plain(text: Column) -> Column:
-    """Markdown without its marks: images, links, code, emphasis, tags."""
-    for pattern, to in ((r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"`([^`]*)`", "$1"), (r"(\*\*|__)(.+?)\1", "$2"), (r"(\*|_)(.+?)\1", "$2"), (r"<[^>]+>", "")):
-        text = F.regexp_replace(text, pattern, to)
+    """Markdown without its marks: images leave their alternative text, links and emphasis theirs."""
+    for pattern, left in MARKS:
+        text = F.regexp_replace(text, f"(?d){pattern}", left)
     return text
 
 
 def slug(text: Column) -> Column:
-    """Anchor of a heading: marks off, lower case, ASCII signs off, white space to dashes."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(plain(text))), r"[\x00-\x08\x0E-\x1F!-,./:-@\[-^`{-\x7F]", ""), r"\s", "-")
+    """Anchor of a heading: marks off, lower case, only ASCII letters, digits, underscores and dashes stay, blanks to one dash."""
+    kept = F.regexp_replace(F.lower(plain(text)), r"[^a-z0-9_\t-\r -]", "")
+    return F.regexp_replace(F.regexp_replace(kept, r"^[\t-\r ]+|[\t-\r ]+$", ""), r"[\t-\r ]+", "-")
 
 
 def squeezed(text: Column) -> Column:
@@ -29,10 +43,10 @@ def comment_only(line: Column) -> Column:
     return F.trim(line).rlike(r"^(#|//|--|;|%|\*|/\*|<!--)")
 
 
-def words(text: Column) -> Column:
-    """Blank-separated tokens of over one character without marks, plus each CJK character."""
-    bare = F.regexp_replace(plain(text), CJK, " ")
-    return (F.size(F.filter(F.split(bare, r"\s+"), lambda w: F.length(w) > 1)) + F.regexp_count(text, F.lit(CJK))).cast("long")
+def md_words(text: Column) -> Column:
+    """Tokens of over one character, the signs of Markdown being blanks, plus each CJK character."""
+    bare = F.regexp_replace(text, r"[#*`|\->\[\]()]", " ")
+    return (F.size(F.filter(F.split(bare, r"(?U)\s+"), lambda w: F.length(w) > 1)) + F.regexp_count(bare, F.lit(CJK))).cast("long")
 
 
 def last_tag(text: Column, tag: str) -> Column:
@@ -41,9 +55,14 @@ def last_tag(text: Column, tag: str) -> Column:
     return F.regexp_replace(found, r"(?U)^\s+|\s+$", "")
 
 
-def file_name(title: Column, most: int = 200) -> Column:
-    clean = F.trim(F.regexp_replace(title, r'[\\/:*?"<>|\x00-\x1f]', "_"))
-    return F.coalesce(F.nullif(F.left(clean, F.lit(most)), F.lit("")), F.lit("untitled"))
+# Characters that no file name may have, and the longest name.
+NOT_IN_NAMES, LONGEST_NAME = r'[<>:"/\\|?*\x00-\x1f]', 200
+
+
+def file_name(title: Column, most: int = LONGEST_NAME) -> Column:
+    """A title as a file name: what names may not have becomes _, blanks and then dots at the ends go."""
+    name = F.regexp_replace(F.regexp_replace(title, NOT_IN_NAMES, "_"), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(name, r"^\.+|\.+$", ""), F.lit(most)), F.lit("")), F.lit("untitled"))
 
 
 def url_token(url: Column) -> Column:
@@ -59,14 +78,20 @@ def escaped(text: Column) -> Column:
 
 
 def dashes(line: Column) -> Column:
-    """Unicode dashes of a table's separator row as ASCII; other rows as they are."""
-    fixed = F.regexp_replace(line, r"[\x{2010}-\x{2015}\x{2212}\x{FF0D}]", "-")
-    return F.when(fixed.rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*$"), fixed).otherwise(line)
+    """A table row of cells that hold em or en dashes only becomes a separator row: as many hyphens, three at least; other lines stay."""
+    bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    cells = F.transform(F.split(F.regexp_replace(bare, r"^\|+|\|+$", ""), r"\|", -1), lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    row = F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda c: F.repeat(F.lit("-"), F.greatest(F.lit(3), F.length(c)))), "|"), F.lit("|"))
+    return F.when(bare.startswith("|") & F.forall(cells, lambda c: c.rlike("^[—–]+$")), row).otherwise(line)
+
+
+# Fixed value: a number that was put before a heading by hand.
+MANUAL_NUMBER = r"^(\d+\.)+\d*\s*"
 
 
 def unnumbered(heading: Column) -> Column:
     """A heading without its manual number."""
-    return F.regexp_replace(heading, r"^(\d+\.)+\d*\s*", "")
+    return F.regexp_replace(heading, MANUAL_NUMBER, "")
 
 
 def numeric_share(line: Column) -> Column:
@@ -123,12 +148,53 @@ def skill_name_issue(name: Column, most: int = 64) -> Column:
 
 
 def emphasis_defect(text: Column) -> Column:
-    """Bold marks that stand between a CJK character and punctuation, where renderers do not see them."""
-    return text.rlike(r"[\x{4E00}-\x{9FFF}]\*\*[^*\n]*[\p{P}&&[^*]]\*\*[\x{4E00}-\x{9FFF}]")
+    """Bold text that ends with a bracket and is followed by a CJK character: renderers do not see its end."""
+    return text.rlike(r"\*\*[^*\n]*[)\]）】]\*\*" + CJK)
+
+
+# Characters that stay as they are in a quoted address.
+SAFE = "/:?#&=@%+"
+
+
+def quoted(url: Column, safe: str = SAFE) -> Column:
+    """An address in percent notation (a blank is %20): letters, digits, -._~ and `safe` stay. Whole runs, by the JVM's encoder."""
+    out = F.replace(F.replace(F.replace(F.url_encode(url), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    for c in safe:  # % last, as it is in what the others became
+        if c != "%":
+            out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.replace(out, F.lit("%25"), F.lit("%")) if "%" in safe else out
+
+
+def unquoted(url: Column) -> Column:
+    """The text of an address in percent notation; a plus stays a plus, and what is no valid notation stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
+
+
+def formatted(x: Column, spec: str) -> Column:
+    """A number by a format such as +.2f, .0% or ,.2f, rounded from its exact binary value with ties to even.
+
+    The JVM's formatter rounds the shown decimal half up, so this one runs on Arrow batches.
+    """
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else format(v, spec) for v in values], dtype=object)
+
+    return run(x.cast("double"))
+
+
+def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """(label, match) of the first pattern in the list that matches anywhere; the rest is not tried."""
+    return F.coalesce(*[F.when(text.rlike(p), F.struct(F.lit(label).alias("label"), F.regexp_extract(text, p, 0).alias("match"))) for p, label in patterns])
+
+
+def leftmost_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """(at, rank, label, match) of the match that starts first; of several at one place that of the earlier pattern."""
+    at = lambda p: F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{p})", 1))
+    found = [F.when(text.rlike(p), F.struct(at(p).alias("at"), F.lit(k).alias("rank"), F.lit(label).alias("label"), F.regexp_extract(text, p, 0).alias("match"))) for k, (p, label) in enumerate(patterns)]
+    return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
-def citations(text: Column) -> Column:
-    """path:first[-last] citations as (path, first, last)."""
-    at = r"([A-Za-z0-9_./-]+\.[A-Za-z0-9]+):(\d+)(?:-(\d+))?"
-    part = lambda g: F.regexp_extract_all(text, F.lit(at), F.lit(g))
-    return F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda x: F.struct(x["a"].alias("path"), x["b"].cast("long").alias("first"), F.coalesce(F.nullif(x["c"], F.lit("")).cast("long"), x["b"].cast("long")).alias("last")))
+def examples(items: Column, most: int = 3, chars: int = 80) -> Column:
+    """The first few items of an array, each cut to so many characters."""
+    return F.transform(F.slice(items, 1, most), lambda x: F.left(x, F.lit(chars)))

@@ -36,113 +36,133 @@ def per_line(lines: Column, rule: Callable[[Column, Column], Column]) -> Column:
     return F.filter(F.transform(lines, lambda x, i: rule(x, i + 1).cast(ISSUE)), lambda x: x.isNotNull())
 
 
-def unfenced(lines: Column) -> Column:
-    """Lines with those inside fences (and the fences) blanked, so that numbers stay."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        mark = x.rlike(r"^\s*(```|~~~)")
-        return F.struct((s["inside"] != mark).alias("inside"), F.concat(s["out"], F.array(F.when(s["inside"] | mark, "").otherwise(x))).alias("out"))
-
-    return F.aggregate(lines, start, step)["out"]
-
-
-def lint(docs: DataFrame, key: str = "file", text: str = "text", least: int = 1500, most: int = 6000) -> DataFrame:
-    """Diagnostics of Markdown documents (file, text): sections, placement, tables, links, words, unsupported marks, names."""
-    from millrace.functions.text import emphasis_defect, file_prefix_issue, words
-
-    df = docs.select(F.col(key).alias("file"), F.col(text).alias("text")).withColumn("_raw", F.split("text", "\n"))
-    df = df.select("file", "text", F.inline(F.array(F.struct(unfenced(F.col("_raw")).alias("lines"), F.col("_raw").alias("raw")))))
-    lines, name = F.col("lines"), F.col("file")
-    heads = F.filter(lines, lambda x: x.rlike(r"^# \S"))
-    body = F.array_join(lines, "\n")
-    n = words(F.col("text"))
-    whole = [
-        issue(~F.col("text").rlike(r"\]\((?:\./)?index\.md"), "missing_section", "no link to the index"),
-        issue(~F.col("text").rlike(r"(?mi)^#{1,6}\s+Introduction\b"), "missing_section", "no Introduction"),
-        issue(~F.col("text").rlike(r"(?mi)^#{1,6}\s+Summary\b"), "missing_section", "no Summary"),
-        issue(name.rlike("arch|system|design") & ~F.col("text").rlike("(?m)^```mermaid"), "missing_section", "no diagram"),
-        issue(~name.rlike("overview|evolution|roadmap") & ~F.col("text").rlike(r"[A-Za-z0-9_./-]+\.[a-z]+:\d+"), "missing_section", "no code reference"),
-        issue(F.size(heads) == 0, "metadata_placement", "no H1"),
-        issue(F.size(heads) > 1, "metadata_placement", "more than one H1"),
-        issue((n < least) | (n > most), "word_count", F.format_string("%d words", n)),
-        issue(file_prefix_issue(name).isNotNull(), "filename_convention", file_prefix_issue(name), severity="warning"),
-        issue(body.rlike(r"(?m)^\s*[-*] \[[ xX]\]"), "unsupported_markdown", "task list"),
-        issue(body.rlike(r"\[\^[^\]]+\]"), "unsupported_markdown", "footnote", severity="warning"),
-        issue(body.rlike(r"\$\$"), "unsupported_markdown", "display math", severity="warning"),
-    ]
-    by_line = F.concat(
-        per_line(lines, lambda x, i: issue(emphasis_defect(x), "cjk_emphasis", "emphasis will not render", i)),
-        per_line(lines, lambda x, i: issue(x.rlike(r"\]\([^)#:\s]*/[^)]*\.md"), "flat_structure", "link into a folder", i)),
-        per_line(F.col("raw"), lambda x, i: issue(x.rlike(r"^\s*(style|classDef|linkStyle)\b.*(fill|stroke|color)\s*:"), "mermaid_hardcoded_style", "fixed colour", i)),
-        table_issues(lines),
-    )
-    found = F.concat(F.filter(F.array(*[r.cast(ISSUE) for r in whole]), lambda x: x.isNotNull()), by_line)
-    return df.select("file", F.explode(found).alias("i")).select("file", "i.line", "i.type", "i.severity", "i.message")
-
-
 def table_issues(lines: Column) -> Column:
-    """Rows of a table whose pipe count differs from the table's first row, and bad separators in its second row."""
+    """Issues of the tables in an array of lines: a second row that is no separator, later rows with another count of pipes.
+
+    A line with two pipes starts a table; a blank line, or one without a pipe, ends it. Escaped pipes count.
+    """
     pipes = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
-    row = F.struct(F.lit(0).alias("place"), F.lit(0).alias("width"), F.array().cast(f"array<{ISSUE}>").alias("found"))
+    start = F.struct(F.lit(0).alias("place"), F.lit(0).alias("width"), F.array().cast(f"array<{ISSUE}>").alias("found"))
 
     def step(s: Column, item: Column) -> Column:
-        x, i = item["x"], item["i"]
-        inside = pipes(x) >= 2
-        second = s["place"] == 1
-        separator = x.rlike(r"^\s*\|?(\s*:?-{3,}:?\s*\|?)+\s*$")
-        bad = F.when(inside & second & ~separator, F.array(issue(F.lit(True), "table_format", "bad separator", i).cast(ISSUE))).when(
-            inside & (s["place"] >= 1) & (pipes(x) != s["width"]), F.array(issue(F.lit(True), "table_format", "column count", i).cast(ISSUE))
-        ).otherwise(F.array().cast(f"array<{ISSUE}>"))
-        return F.when(inside, F.struct((s["place"] + 1).alias("place"), F.when(s["place"] == 0, pipes(x)).otherwise(s["width"]).alias("width"), F.concat(s["found"], bad).alias("found"))).otherwise(F.struct(F.lit(0).alias("place"), F.lit(0).alias("width"), s["found"].alias("found")))
+        x, i = F.trim(item["x"]), item["i"]
+        n, out = pipes(x), s["place"] == 0
+        begins = out & (n >= 2)
+        goes_on = ~out & (n > 0)
+        bad = F.when(goes_on & (s["place"] == 1) & ~x.rlike(r"^\|?[\s\-:|]+\|?$"), issue(F.lit(True), "table_format", "bad separator", i).cast(ISSUE)).when(goes_on & (s["place"] > 1) & (n != s["width"]), issue(F.lit(True), "table_format", "column count", i).cast(ISSUE))
+        found = F.when(bad.isNotNull(), F.concat(s["found"], F.array(bad))).otherwise(s["found"])
+        return F.struct(F.when(begins, 1).when(goes_on, s["place"] + 1).otherwise(0).alias("place"), F.when(begins, n).otherwise(s["width"]).alias("width"), found.alias("found"))
+
+    return F.aggregate(F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), start, step)["found"]
+
+
+_ENTRY = "struct<key:string,raw:string,nested:boolean>"
+
 
-    return F.aggregate(F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), row, step)["found"]
+def front_matter_entries(block: Column) -> Column:
+    """(key, raw, nested) of a block's own keys: raw is the value's text, folded lines joined by one blank; nested says that it has lines below it."""
+    logical = F.split(F.regexp_replace(F.regexp_replace(block, r"\r\n?", "\n"), r"\n[ \t]+", "\x01"), "\n")
+    own = F.filter(logical, lambda x: x.rlike(r"^[^\s#:\-][^:]*:(?:[ \t\x01]|$)"))
+
+    def entry(x: Column) -> Column:
+        value = F.regexp_replace(x, r"^[^:]*:", "")
+        folded = F.regexp_replace(F.regexp_replace(value, r"^[ \t]*[>|][+\-]?[ \t]*\x01", "\x02"), r"\x01", " ")
+        return F.struct(F.regexp_extract(x, r"^([^:]*):", 1).alias("key"), F.trim(folded).alias("raw"), value.rlike(r"^[ \t]*\x01").alias("nested"))
+
+    return F.transform(own, entry)
 
 
 def front_matter(text: Column) -> Column:
-    """The front matter of a text as a map; folded lines are joined by one blank; null if there is none."""
+    """The front matter of a text as a map, quotes off, the first of equal keys; null if there is none."""
     block = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
-    joined = F.regexp_replace(F.regexp_replace(block, r":[ \t]*[>|]-?[ \t]*\r?\n[ \t]+", ": "), r"\r?\n[ \t]+", " ")
-    lines = F.filter(F.split(joined, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z][\w-]*:"))
-    entry = lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[\w-]+:", "")), r"^([\"'])(.*)\1$", "$2"))
-    first = F.filter(lines, lambda x, i: F.array_position(F.transform(lines, lambda y: F.regexp_extract(y, r"^([\w-]+):", 1)), F.regexp_extract(x, r"^([\w-]+):", 1)) == i + 1)
-    return F.when(text.rlike(r"(?s)\A---\r?\n.*?\r?\n---"), F.map_from_entries(F.transform(first, entry)))
+    entries = front_matter_entries(block)
+    keys = F.transform(entries, lambda e: e["key"])
+    first = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    value = lambda e: F.regexp_replace(F.replace(e["raw"], F.lit("\x02"), F.lit("")), r"^([\"'])(.*)\1$", "$2")
+    return F.when(text.rlike(r"(?s)\A---\r?\n.*?\r?\n---"), F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], value(e)))))
+
+
+def scalar_kind(entry: Column) -> Column:
+    """What a value of front matter is: str, int, float, bool, date, NoneType, list or dict."""
+    raw = entry["raw"]
+    return (
+        F.when(raw.startswith("\x02") | raw.rlike("^[\"']"), "str")
+        .when(entry["nested"] & raw.startswith("- "), "list")
+        .when(entry["nested"] & raw.rlike(r"^[^\s:]+:( |$)"), "dict")
+        .when(raw.isin("", "~", "null", "Null", "NULL"), "NoneType")
+        .when(raw.startswith("["), "list")
+        .when(raw.startswith("{"), "dict")
+        .when(raw.rlike(r"^[-+]?(0|[1-9][0-9_]*|0[0-7_]+|0x[0-9a-fA-F_]+)$"), "int")
+        .when(raw.rlike(r"^[-+]?([0-9][0-9_]*\.[0-9_]*([eE][-+][0-9]+)?|\.[0-9_]+|\.(inf|Inf|INF))$|^\.(nan|NaN|NAN)$"), "float")
+        .when(raw.rlike(r"^(?:yes|Yes|YES|no|No|NO|true|True|TRUE|false|False|FALSE|on|On|ON|off|Off|OFF)$"), "bool")
+        .when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
+        .otherwise("str")
+    )
+
+
+def scalar_fault(entry: Column) -> Column:
+    """Why a value is no valid notation: an open quote or bracket, a colon and a blank in it, a sign that is reserved; null if it is valid."""
+    raw = entry["raw"]
+    free = ~raw.startswith("\x02") & ~raw.rlike("^[\"'\\[{]") & ~entry["nested"]
+    return (
+        F.when(raw.rlike("^\"") & ~raw.rlike(r'^"(?:[^"\\]|\\.)*"(?:\s+#.*)?$'), "open quote")
+        .when(raw.rlike("^'") & ~raw.rlike(r"^'(?:[^']|'')*'(?:\s+#.*)?$"), "open quote")
+        .when(raw.rlike(r"^\[") & ~raw.rlike(r"\]$") | raw.rlike(r"^\{") & ~raw.rlike(r"\}$"), "open bracket")
+        .when(free & raw.rlike(r":(\s|$)"), "a colon in it")
+        .when(free & raw.rlike(r"^[@`%&*!|>]"), "a reserved sign")
+    )
 
 
 #: The keys that front matter may have.
 ALLOWED_KEYS = ("name", "description", "license", "allowed-tools", "metadata", "compatibility")
 
 
-def front_matter_failure(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The first thing wrong with the front matter of each text."""
-    from millrace.functions.text import skill_name_issue
+#: The longest name, description and note on compatibility.
+MOST_NAME, MOST_SAID, MOST_COMPATIBLE = 64, 1024, 500
 
-    df = df.withColumn("_m", front_matter(F.col(text)))
-    name, said = F.col("_m")["name"], F.col("_m")["description"]
-    odd = F.array_except(F.map_keys("_m"), F.array(*map(F.lit, ALLOWED_KEYS)))
+
+def front_matter_failure(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The first thing wrong with the front matter of each text, in the order of the checks; a null text is a missing file."""
+    block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
+    df = df.select(*df.columns, F.inline(F.array(F.struct(front_matter_entries(block).alias("_e"), block.alias("_b")))))
+    has = lambda k: F.exists("_e", lambda e: e["key"] == k)
+    entry = lambda k: F.try_element_at(F.filter("_e", lambda e: e["key"] == k), F.lit(-1))
+    value = lambda k: F.trim(F.regexp_replace(F.replace(F.coalesce(entry(k)["raw"], F.lit("")), F.lit("\x02"), F.lit("")), r"^([\"'])(.*)\1$", "$2"))
+    kind = lambda k: F.when(has(k), scalar_kind(entry(k)))
+    fault = F.try_element_at(F.filter(F.transform("_e", scalar_fault), lambda x: x.isNotNull()), F.lit(1))
+    odd = F.array_except(F.transform("_e", lambda e: e["key"]), F.array(*map(F.lit, ALLOWED_KEYS)))
+    name, said, fits = value("name"), value("description"), value("compatibility")
+    fail = lambda when, message: issue(when, "frontmatter", message)
     rules = [
-        issue(~F.col(text).startswith("---"), "frontmatter", "no front matter"),
-        issue(F.col("_m").isNull(), "frontmatter", "not closed"),
-        issue(F.size(odd) > 0, "frontmatter", F.concat(F.lit("unexpected "), F.array_join(F.array_sort(odd), ", "))),
-        issue(name.isNull(), "frontmatter", "no name"),
-        issue(said.isNull(), "frontmatter", "no description"),
-        issue(skill_name_issue(name).isNotNull(), "frontmatter", skill_name_issue(name)),
-        issue(said.rlike("[<>]"), "frontmatter", "angle brackets"),
-        issue(F.length(said) > 1024, "frontmatter", "description too long"),
+        fail(F.col(text).isNull(), "not found"),
+        fail(~F.col(text).startswith("---"), "no front matter"),
+        fail(~F.col(text).rlike(r"(?s)\A---\n.*?\n---"), "not closed"),
+        fail(fault.isNotNull(), F.concat(F.lit("invalid: "), fault)),
+        fail(F.size("_e") == 0, "not a mapping"),
+        fail(F.size(odd) > 0, F.concat(F.lit("unexpected "), F.array_join(F.array_sort(odd), ", "))),
+        fail(~has("name"), "no name"),
+        fail(~has("description"), "no description"),
+        fail(kind("name") != "str", F.concat(F.lit("name is "), kind("name"))),
+        fail((name != "") & ~name.rlike("^[a-z0-9-]+$"), "not_kebab"),
+        fail(name.startswith("-") | name.endswith("-") | F.contains(name, F.lit("--")), "bad_dash"),
+        fail(F.length(name) > MOST_NAME, "too_long"),
+        fail(kind("description") != "str", F.concat(F.lit("description is "), kind("description"))),
+        fail(said.rlike("[<>]"), "angle brackets"),
+        fail(F.length(said) > MOST_SAID, "description too long"),
+        fail(has("compatibility") & ~kind("compatibility").isin("str", "NoneType") & ~value("compatibility").isin("0", "false"), F.concat(F.lit("compatibility is "), kind("compatibility"))),
+        fail(F.length(fits) > MOST_COMPATIBLE, "compatibility too long"),
     ]
     return first_failure(df, [key], rules)
 
 
 def figure_issues(figures: DataFrame) -> DataFrame:
-    """Diagnostics of (paper, fig_num, width, height, page_height, suspect, caption): shape, suspects, captions."""
+    """Diagnostics of (paper, fig_num, width, height, page_height, suspect): shape and suspects; see figures for the others."""
     ratio = F.try_divide("width", "height")
     rules = [
         issue(ratio > 8, "aspect_ratio", "very wide", severity="MEDIUM"),
         issue(ratio < 0.25, "aspect_ratio", "very narrow", severity="MEDIUM"),
         issue(F.col("height") > 0.68 * F.col("page_height"), "aspect_ratio", "most of the page", severity="MEDIUM"),
         issue(F.coalesce("suspect", F.lit(False)), "extractor_suspect", "marked by the extractor", severity="HIGH"),
-        issue(F.length(F.trim("caption")) < 20, "caption_mismatch", "caption too short", severity="MEDIUM"),
-        issue(F.col("caption").rlike(r"^(?:Figure|Fig\.?)\s*\d+\s+(shows|presents|illustrates|depicts|compares)\b"), "caption_mismatch", "a sentence that refers to a figure", severity="HIGH"),
     ]
     return accumulate(figures, ["paper", "fig_num"], rules)
 
