@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +71,23 @@ def contained(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, wo
     widths = [r["_n"] for r in long.select("_n").distinct().collect()]  # at most `words` values
     body = texts.select(text_id, F.col("text").alias("_text"))
     keys = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("_s") - n + 1, F.lit(1))), _run(n)) for n in widths]))) if widths else F.array().cast("array<bigint>")
-    posted = body.withColumn("_s", split(F.col("_text"))).withColumn("_key", F.explode(keys)).drop("_s")
-    out = posted.join(F.broadcast(long) if long.count() <= 50_000 else long, "_key").where(F.contains("_text", "_item")).select(text_id, item_id)
-    if short.limit(1).count():  # items without inner words can start anywhere: each is a filter over the texts
-        for r in short.toLocalIterator():
-            out = out.unionByName(body.where(F.contains("_text", F.lit(r["_item"]))).select(text_id, F.lit(r[item_id]).cast(dict(items.dtypes)[item_id]).alias(item_id)))
+    posted = body.select(text_id, split(F.col("_text")).alias("_s")).select(text_id, F.explode(keys).alias("_key"))  # ids and hashes only
+    few = long.count() <= 50_000
+    wanted = long.select("_key", item_id)
+    met = posted.join(F.broadcast(wanted) if few else wanted, "_key").select(text_id, item_id).distinct()
+    out = met.join(F.broadcast(long.select(item_id, "_item")) if few else long.select(item_id, "_item"), item_id).join(body, text_id).where(F.contains("_text", "_item")).select(text_id, item_id)
+    rows = short.toLocalIterator()  # items without inner words can start anywhere: the texts are read once for each block of them
+    while block := [F.struct(F.lit(r[item_id]).alias("id"), F.lit(r["_item"]).alias("item")) for r in islice(rows, SHORT_ITEMS)]:
+        kind = dict(items.dtypes)[item_id]
+        held = body.select(text_id, F.explode(F.filter(F.array(*block), lambda x: F.contains("_text", x["item"]))).alias("x"))
+        out = out.unionByName(held.select(text_id, F.col("x.id").cast(kind).alias(item_id)))
     return out.distinct()
 
 
+#: Items that one pass over the texts tests one by one.
+SHORT_ITEMS = 500
+
+
 def _run(n: int):
     return lambda i: F.xxhash64(F.array_join(F.slice(F.col("_s"), i, F.lit(n)), " "))
 
@@ -94,9 +105,9 @@ def zip_positions(a: DataFrame, b: DataFrame, keys: list[str], a_order: str, b_o
 
 
 def references(refs: DataFrame, sizes: DataFrame, path: str = "path") -> DataFrame:
-    """Verdict of citations (path, first, last) against line counts (path, lines)."""
+    """Verdict of citations (path, first, last) against line counts (path, lines); the first that fits."""
     found = refs.join(sizes, path, "left")
-    verdict = F.when(F.col("lines").isNull(), "missing_file").when(F.col("first") > F.col("last"), "start_after_end").when((F.col("first") < 1) | (F.col("last") > F.col("lines")), "out_of_range").otherwise("ok")
+    verdict = F.when(F.col("lines").isNull(), "missing_file").when(F.col("last") > F.col("lines"), "out_of_range").when(F.col("first") > F.col("last"), "start_after_end").otherwise("ok")
     return found.withColumn("verdict", verdict)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,20 +46,61 @@ def largest_early_gap(df: DataFrame, keys: list[str], value: str, ties: list[str
     return diffs.withColumn("_best", best).where((F.col("_best") == 1) & (F.col("gap") > over)).select(*keys, F.col(value).alias("after"), "gap")
 
 
+def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """A fold over each key's rows in order, as a stream: a task holds one key's state and one Arrow batch, never a whole key.
+
+    step(state, rows) gets the state (None at first) and a pandas frame of the key's next rows and returns the state;
+    finish(key, state) returns the key's result rows, as step may by appending to a list in its state. One shuffle.
+    """
+    names = [x.strip().split()[0] for x in schema.split(",")]
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        now, state = None, None
+        for frame in frames:
+            out: list[tuple] = []
+            columns = [frame[k] for k in keys]
+            change = pd.Series(True, index=frame.index)
+            if len(frame) > 1:
+                same = pd.concat([(c == c.shift()) | (c.isna() & c.shift().isna()) for c in columns], axis=1).all(axis=1)
+                change = ~same
+                change.iloc[0] = True
+            starts = [*change.to_numpy().nonzero()[0].tolist(), len(frame)]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                key = tuple(None if pd.isna(c.iloc[s]) else c.iloc[s] for c in columns)
+                if key != now:
+                    if now is not None:
+                        out += finish(now, state)
+                    now, state = key, None
+                state = step(state, frame.iloc[s:e])
+            yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame(finish(now, state), columns=names)
+
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def last_kept(df: DataFrame, keys: list[str], order: str, value: str, drop: float) -> DataFrame:
-    """(keys, kept): the orders of the items whose similarity to the last item kept is below `drop`.
+    """(keys, order) of the items whose similarity to the last item kept is below `drop`.
 
-    Similarity is 1 - the mean absolute difference of the vectors; the first item stays. A fold over each sequence.
+    Similarity is 1 - the mean absolute difference of the vectors; the first item stays. The state is the last vector
+    kept and the orders since the key began.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("array<double>").alias("last"))
+    kinds = dict(df.dtypes)
 
-    def step(state: Column, item: Column) -> Column:
-        apart = F.aggregate(F.zip_with(state["last"], item["v"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.size(item["v"])
-        stays = state["last"].isNull() | (1 - apart < drop)
-        return F.when(stays, F.struct(F.concat(state["kept"], F.array(item["o"].cast("bigint"))).alias("kept"), item["v"].alias("last"))).otherwise(state)
+    def step(state, rows):
+        import numpy as np
+
+        last, kept = state or (None, [])
+        for at, v in zip(rows[order].tolist(), rows[value], strict=True):
+            v = np.asarray(v, float)
+            if last is None or 1 - np.abs(last - v).mean() < drop:
+                last = v
+                kept.append(at)
+        return last, kept
 
-    return df.withColumn(value, F.transform(value, lambda x: x.cast("double"))).groupBy(*keys).agg(F.aggregate(items, start, step)["kept"].alias("kept"))
+    return fold_sorted(df.select(*keys, order, value), keys, [order], step, lambda key, state: [(*key, at) for at in state[1]], ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]))
 
 
 def numbering(df: DataFrame, keys: list[str], order: str, level: str, deepest: int = 6) -> DataFrame:

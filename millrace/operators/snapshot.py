@@ -19,11 +19,15 @@ def merge_state(state: DataFrame, now: DataFrame, key: str) -> DataFrame:
 def grounded(lines: DataFrame, sources: DataFrame, keys: list[str], group: list[str], least: float) -> DataFrame:
     """Per group the lines that contain, or are contained in, a source line of the same key; no countable line passes.
 
-    Equal lines are settled by an equi-join. The rest meet the distinct source lines of their key only.
+    Distinct lines meet the distinct source lines: equal ones by an equi-join; what is left is compared within its key.
     """
-    lines = lines.withColumn("_id", F.monotonically_increasing_id())
-    found = lines.join(sources.distinct(), keys).where(F.contains("source", "line") | F.contains("line", "source")).select("_id").distinct().withColumn("_hit", F.lit(1))
-    out = lines.join(found, "_id", "left").groupBy(*keys, *group).agg(F.count("*").alias("countable"), F.count("_hit").alias("matched"))
+    sources = sources.distinct()
+    each = lines.select(*keys, "line").distinct()
+    equal = each.join(sources.withColumnRenamed("source", "line"), [*keys, "line"], "left_semi")
+    left = each.join(sources.withColumnRenamed("source", "line"), [*keys, "line"], "left_anti")
+    held = left.join(sources, keys).where(F.contains("source", "line") | F.contains("line", "source")).select(*keys, "line").distinct()
+    hit = equal.unionByName(held).withColumn("_hit", F.lit(1))
+    out = lines.join(hit, [*keys, "line"], "left").groupBy(*keys, *group).agg(F.count("*").alias("countable"), F.count("_hit").alias("matched"))
     return out.withColumn("ok", F.coalesce(F.try_divide("matched", "countable"), F.lit(1.0)) >= least)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,9 @@ def consensus(df: DataFrame, keys: list[str], value: str, target: float, least:
 def rubric(scores: list[Column], top: float = 5, scale: float = 10) -> Column:
     """Mean of the dimensions, scaled."""
     return F.round(reduce(add, scores) / len(scores) / top * scale, 6)
+
+
+def observed(df: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
+    """df, and an observation that counts the rows for which each condition holds while an action writes or reads df; no pass of its own."""
+    seen = Observation()
+    return df.observe(seen, *[F.count_if(c).alias(n) for n, c in counters.items()]), seen

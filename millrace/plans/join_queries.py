@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import match, snapshot
+from millrace.operators import figures, match, snapshot
 from millrace.plans.registry import query, read
 
 
@@ -92,11 +92,11 @@ def jon06_change_classes(spark, sf_dir):
 @query(
     "jon07_missing_labels",
     """
-with f as (select user_id, list(distinct event_type) as found from events where event_id % 40 = 0 group by 1)
+with f as (select user_id, list(distinct event_type) as found from events group by 1)
 select user_id, array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: not list_contains(found, x))), ',') as missing from f""",
 )
 def jon07_missing_labels(spark, sf_dir):
-    found = read(spark, sf_dir, "events").where("event_id % 40 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("found"))
+    found = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("found"))
     every = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
     return found.select("user_id", F.array_join(F.array_except(every, "found"), ",").alias("missing"))
 
@@ -120,7 +120,7 @@ def jon08_numbering_gaps(spark, sf_dir):
     """
 with refs as (select l_orderkey, l_linenumber, 'doc' || (l_partkey % 1200) as path, (l_suppkey % 9) as first, (l_linenumber + l_orderkey % 6) as last from lineitem),
 sizes as (select 'doc' || doc_id as path, len(regexp_split_to_array(text, '\\n'))::bigint as lines from documents)
-select l_orderkey, l_linenumber, r.path, case when lines is null then 'missing_file' when first > last then 'start_after_end' when first < 1 or last > lines then 'out_of_range' else 'ok' end as verdict from refs r left join sizes s on s.path = r.path""".replace("\\\\", "\\"),
+select l_orderkey, l_linenumber, r.path, case when lines is null then 'missing_file' when last > lines then 'out_of_range' when first > last then 'start_after_end' else 'ok' end as verdict from refs r left join sizes s on s.path = r.path""".replace("\\\\", "\\"),
 )
 def jon09_citation_ranges(spark, sf_dir):
     refs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("doc"), (F.col("l_partkey") % 1200).cast("string")).alias("path"), (F.col("l_suppkey") % 9).alias("first"), (F.col("l_linenumber") + F.col("l_orderkey") % 6).alias("last"))
@@ -320,12 +320,63 @@ def fil09_small_boxes(spark, sf_dir):
 
 
 @query(
-    "fil12_ordered_classes",
-    """select event_id, case when value > 90 then 'heading' when event_type = 'error' then 'noise' when value between 20 and 30 then 'caption' else 'body' end as kind from events""",
+    "fil10_drawings",
+    "select l_orderkey, l_linenumber, l_partkey from lineitem where not (l_quantity + l_tax * 100 > 45 or l_quantity < 5) and not (l_discount * 500 + l_linenumber * 20 < 30 - 20 or l_discount * 500 > 40 + 20) and not (l_linenumber * 20 < 2 and l_tax * 100 < 2) and not (l_tax * 100 < 2 and l_linenumber * 20 > 100 * 0.8)",
 )
-def fil12_ordered_classes(spark, sf_dir):
-    v = F.col("value")
-    return read(spark, sf_dir, "events").select("event_id", F.when(v > 90, "heading").when(F.col("event_type") == "error", "noise").when(v.between(20, 30), "caption").otherwise("body").alias("kind"))
+def fil10_drawings(spark, sf_dir):
+    x0, y0 = F.col("l_discount") * 500, F.col("l_quantity")
+    kept = figures.figure_drawing(x0, y0, x0 + F.col("l_linenumber") * 20, y0 + F.col("l_tax") * 100, F.lit(40.0), F.lit(5.0), F.lit(30.0), F.lit(40.0), F.lit(100.0))
+    return read(spark, sf_dir, "lineitem").where(kept).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("fil11_column", "select l_orderkey, l_linenumber, l_partkey, l_returnflag = 'A' or not (l_quantity + 10 < 25 - 5 or l_quantity > 30 + 5) as inside from lineitem")
+def fil11_column(spark, sf_dir):
+    inside = figures.in_column(F.col("l_quantity"), F.col("l_quantity") + 10, F.lit(25.0), F.lit(30.0), F.col("l_returnflag") == "A")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", inside.alias("inside"))
+
+
+@query(
+    "fil13_captions",
+    r"""
+with c as (select p_partkey, case p_partkey % 6 when 0 then 'Fig. ' || p_size || ': ' || p_name when 1 then 'figure ' || p_size || '(b) | x' when 2 then 'Figure ' || p_size || ' shows ' || p_name when 3 then 'FIGURE ' || p_size when 4 then 'As Figure ' || p_size || '. says' else 'Fig' || p_size || 'a.' end as line from part)
+select p_partkey, line, regexp_extract(line, '(?i)^(?:Fig\.?\s*|Figure\s+)(\d+)', 1)::int as number, not regexp_matches(line, '(?i)^(?:Fig\.?\s*\d+|Figure\s+\d+)\s*(?:[a-z]|\([a-z]\))?\s*[:.|]') as is_loose
+from c where regexp_matches(line, '(?i)^(?:Fig\.?\s*\d+|Figure\s+\d+)\s*(?:[a-z]|\([a-z]\))?\s*[:.|]') or regexp_matches(line, '(?i)^(?:Fig\.?\s*\d+|Figure\s+\d+)\s*(?:[a-z]|\([a-z]\))?\s+\S')""",
+)
+def fil13_captions(spark, sf_dir):
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    line = (
+        F.when(kind == 0, F.concat(F.lit("Fig. "), size, F.lit(": "), F.col("p_name"))).when(kind == 1, F.concat(F.lit("figure "), size, F.lit("(b) | x"))).when(kind == 2, F.concat(F.lit("Figure "), size, F.lit(" shows "), F.col("p_name")))
+        .when(kind == 3, F.concat(F.lit("FIGURE "), size)).when(kind == 4, F.concat(F.lit("As Figure "), size, F.lit(". says"))).otherwise(F.concat(F.lit("Fig"), size, F.lit("a.")))
+    )
+    lines = read(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+    return lines.select("p_partkey", "line", figures.caption_number(F.col("line")).alias("c")).where("c is not null").select("p_partkey", "line", "c.number", "c.is_loose")
+
+
+@query(
+    "fil12_body_text",
+    r"""
+with b as (select l_orderkey, l_linenumber, l_partkey, case l_partkey % 7 when 0 then 'Figure ' || l_linenumber || ': x' when 1 then l_linenumber || '. Results of it' when 2 then l_linenumber || '.' || l_linenumber || ' Theory' when 3 then 'B. Proofs of it' when 4 then 'References' when 5 then 'Model 85.2 71.3% of 12 and more' else l_comment_like end as t,
+  l_quantity * 2 as wide, (l_linenumber % 6) as n_lines, 8 + l_discount * 50 as size, l_tax * 1000 as high from (select *, 'some words of a text of order ' || l_orderkey || ' that go on' as l_comment_like from lineitem)),
+m as (select *, wide / 100 as w, size / 10 as ratio, list_filter(regexp_split_to_array(trim(t), '\s+'), lambda x: x <> '') as tokens from b),
+k as (select *, len(list_filter(tokens, lambda x: regexp_matches(x, '^\d+\.?\d*%?$'))) as numbers from m)
+select l_orderkey, l_linenumber, l_partkey, case
+  when regexp_matches(t, '(?i)^(?:Fig\.?\s*\d+|Figure\s+\d+)\s*(?:[a-z]|\([a-z]\))?\s*[:.|]') then false
+  when ratio < 0.85 and (n_lines < 4 or ratio < 0.7 or w < 0.5 or (len(tokens) >= 3 and numbers = len(tokens))) then false
+  when ratio > 1.15 and high < 60 then true
+  when n_lines >= 2 and w > 0.5 and length(t) > 30 then true when n_lines >= 5 and w > 0.15 and length(t) > 30 then true when w > 0.75 and length(t) > 40 then true
+  when regexp_matches(t, '^\d+(\.\d+)*\.\s+\S') and length(t) >= 8 and w > 0.4 then true when regexp_matches(t, '^\d+\.\d+(\.\d+)?\s+[A-Z][a-z]') and w > 0.35 then true
+  when regexp_matches(t, '^[A-Z]\.\s+\S') and length(t) >= 8 and w > 0.4 then true when regexp_matches(t, '(?i)^(Appendices|Appendix|References|Acknowledgments?|Bibliography)\s*$') and w > 0.2 then true
+  when n_lines = 1 and w > 0.5 and length(t) > 15 and len(tokens) >= 4 and numbers >= 2 then true else false end as body from k""",
+)
+def fil12_body_text(spark, sf_dir):
+    n, kind = F.col("l_linenumber").cast("string"), F.col("l_partkey") % 7
+    said = (
+        F.when(kind == 0, F.concat(F.lit("Figure "), n, F.lit(": x"))).when(kind == 1, F.concat(n, F.lit(". Results of it"))).when(kind == 2, F.concat(n, F.lit("."), n, F.lit(" Theory"))).when(kind == 3, "B. Proofs of it").when(kind == 4, "References")
+        .when(kind == 5, "Model 85.2 71.3% of 12 and more").otherwise(F.concat(F.lit("some words of a text of order "), F.col("l_orderkey").cast("string"), F.lit(" that go on")))
+    )
+    zero = F.lit(0.0)
+    body = figures.is_body(said, zero, zero, F.col("l_quantity") * 2, F.col("l_tax") * 1000, F.col("l_linenumber") % 6, 8 + F.col("l_discount") * 50, F.lit(100.0), F.lit(10.0))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", body.alias("body"))
 
 
 @query(

@@ -77,7 +77,7 @@ select label, string_agg(vec_id::varchar, ',' order by n) as kept from f where k
 )
 def win06_last_kept(spark, sf_dir):
     kept = sequence.last_kept(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 0.87)
-    return kept.select("label", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
+    return kept.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",").alias("kept"))
 
 
 @query(
@@ -273,8 +273,8 @@ def tre07_lineage(spark, sf_dir):
 with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) as n, event_type as k, value > 20 as a, length(props) as b from events),
 f as (select user_id, 0::bigint as n, 'waiting' as s, 0::bigint as g from (select distinct user_id from events)
   union all select e.user_id, e.n,
-    case when f.s = 'waiting' and e.k = 'click' then (case when e.a then 'pending' else 'no' end) when f.s = 'waiting' and e.k = 'error' then 'no' when f.s = 'pending' and e.k = 'error' then 'yes' else f.s end,
-    case when f.s = 'waiting' and e.k = 'click' and e.a then e.b when f.s = 'pending' and e.k <> 'error' then f.g + e.b else f.g end
+    case when f.s in ('waiting', 'pending') and e.k = 'click' then (case when e.a then 'pending' else 'no' end) when f.s = 'waiting' and e.k = 'error' then 'no' when f.s = 'pending' and e.k = 'error' then 'yes' else f.s end,
+    case when f.s in ('waiting', 'pending') and e.k = 'click' then (case when e.a then e.b else f.g end) when f.s = 'pending' and e.k <> 'error' then f.g + e.b else f.g end
   from f join e on e.user_id = f.user_id and e.n = f.n + 1)
 select user_id, case arg_max(s, n) when 'yes' then 'accepted' when 'no' then 'rejected' else 'open' end as decision, arg_max(g, n) as gathered from f group by user_id""",
 )
@@ -320,17 +320,26 @@ def mth01_easing(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(maths.ease(n, F.col("t")), 6).alias(n) for n in names])
 
 
+def _bounce(x: str) -> str:
+    """SQL of the bounce curve at x."""
+    return f"(case when {x} < 1 / 2.75 then 7.5625 * ({x}) * ({x}) when {x} < 2 / 2.75 then 7.5625 * pow(({x}) - 1.5 / 2.75, 2) + 0.75 when {x} < 2.5 / 2.75 then 7.5625 * pow(({x}) - 2.25 / 2.75, 2) + 0.9375 else 7.5625 * pow(({x}) - 2.625 / 2.75, 2) + 0.984375 end)"
+
+
 @query(
     "mth01_bounce_elastic",
-    """
-with t as (select p_partkey, (p_partkey % 101) / 100.0::double as t from part), b as (select *, 7.5625::double as n, 2.75::double as d from t)
-select p_partkey, round(case when t < 1 / d then n * t * t when t < 2 / d then n * pow(t - 1.5 / d, 2) + 0.75 when t < 2.5 / d then n * pow(t - 2.25 / d, 2) + 0.9375 else n * pow(t - 2.625 / d, 2) + 0.984375 end, 6) as bounce_out,
-  round(case when t <= 0 then 0 when t >= 1 then 1 else -pow(2, 10 * t - 10) * sin((10 * t - 10.75) * (2 * pi() / 3)) end, 6) as elastic_in,
-  round(case when t <= 0 then 0 when t >= 1 then 1 else pow(2, -10 * t) * sin((10 * t - 0.75) * (2 * pi() / 3)) + 1 end, 6) as elastic_out from b""",
+    f"""
+with t as (select p_partkey, (p_partkey % 97) / 97.0::double as t from part),
+b as (select *, {_bounce('t')} as bounce_out, 1 - {_bounce('1 - t')} as bounce_in, case when t < 0.5 then (1 - {_bounce('1 - 2 * t')}) * 0.5 else {_bounce('2 * t - 1')} * 0.5 + 0.5 end as bounce from t)
+select p_partkey, round(bounce_out, 5) as bounce_out, round(bounce_in, 5) as bounce_in, round(bounce, 5) as bounce,
+  round(case when t = 0 or t = 1 then t else -pow(2, 10 * (t - 1)) * sin((t - 1.1) * 5 * pi()) end, 5) as elastic_in,
+  round(case when t = 0 or t = 1 then t else pow(2, -10 * t) * sin((t - 0.1) * 5 * pi()) + 1 end, 5) as elastic_out,
+  round(case when t = 0 or t = 1 then t when 2 * t - 1 < 0 then -0.5 * pow(2, 10 * (2 * t - 1)) * sin((2 * t - 1 - 0.1) * 5 * pi()) else pow(2, -10 * (2 * t - 1)) * sin((2 * t - 1 - 0.1) * 5 * pi()) * 0.5 + 1 end, 5) as elastic,
+  round(t * t, 5) as ease_in, round(t * (2 - t), 5) as ease_out, round(case when t < 0.5 then 2 * t * t else -1 + (4 - 2 * t) * t end, 5) as ease_in_out from b""",
 )
 def mth01_bounce_elastic(spark, sf_dir):
-    part = read(spark, sf_dir, "part").withColumn("t", (F.col("p_partkey") % 101) / 100.0)
-    return part.select("p_partkey", *[F.round(maths.ease(n, F.col("t")), 6).alias(n) for n in ("bounce_out", "elastic_in", "elastic_out")])
+    part = read(spark, sf_dir, "part").withColumn("t", (F.col("p_partkey") % 97) / 97.0)
+    names = ("bounce_out", "bounce_in", "bounce", "elastic_in", "elastic_out", "elastic", "ease_in", "ease_out", "ease_in_out")
+    return part.select("p_partkey", *[F.round(maths.ease(n, F.col("t")), 5).alias(n) for n in names])
 
 
 @query("mth02_interpolate", "select p_partkey, round(10 + (p_retailprice - 10) * (1 - pow(1 - (p_size / 50.0::double), 3)), 4) as v from part")
@@ -446,10 +455,10 @@ def jsn07_grid(spark, sf_dir):
     return rows.select("l_orderkey", F.array_join(F.transform(nested.grid(F.col("cells"), F.lit(3)), lambda r: F.array_join(r, " ")), "|").alias("grid"))
 
 
-@query("jsn08_padded_rows", "select page_id, array_to_string(list_concat(string_split(url, '/'), list_transform(range(10 - len(string_split(url, '/'))), lambda i: '-')), '|') as cells from pages where len(string_split(url, '/')) <= 10")
+@query("jsn08_padded_rows", "select page_id, array_to_string(list_concat(string_split(url, '/'), list_transform(range(greatest(0, 10 - len(string_split(url, '/')))), lambda i: '-')), '|') as cells from pages")
 def jsn08_padded_rows(spark, sf_dir):
     wide = F.split(F.lit("0/0/0/0/0/0/0/0/0/0"), "/")
-    pages = read(spark, sf_dir, "pages").where(F.size(F.split("url", "/")) <= 10)
+    pages = read(spark, sf_dir, "pages")
     return pages.select("page_id", F.array_join(nested.padded(F.array(F.split("url", "/"), wide), "-")[0], "|").alias("cells"))
 
 
@@ -459,9 +468,28 @@ def jsn10_usage_total(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", (k + F.col("event_id") % 5 + F.col("event_id") % 3).alias("total"))
 
 
-@query("str02_heading_slug", r"""select page_id, regexp_replace(regexp_replace(lower(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1))), '[\x00-\x08\x0E-\x1F!-,./:-@\[-^`{-\x7F]', '', 'g'), '\s', '-', 'g') as slug from pages""")
+@query(
+    "str01_plain",
+    r"""
+with m as (select conv_id, turn, '![' || role || '](x.png) [' || role || '](y) __' || turn || '__ **' || left(text, 9) || '** _a_ *' || turn || '* `c` <b>' || text as t from conversations)
+select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '\*\*(.*?)\*\*|__(.*?)__', '\1\2', 'g'), '\*(.*?)\*|_(.*?)_', '\1\2', 'g'), '`([^`]*)`', '\1', 'g'), '<[^>]+>', '', 'g') as text from m""",
+)
+def str01_plain(spark, sf_dir):
+    turn = F.col("turn").cast("string")
+    marked = F.concat(F.lit("!["), F.col("role"), F.lit("](x.png) ["), F.col("role"), F.lit("](y) __"), turn, F.lit("__ **"), F.left("text", F.lit(9)), F.lit("** _a_ *"), turn, F.lit("* `c` <b>"), F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.plain(marked).alias("text"))
+
+
+_SLUG = r"""
+with h as (select page_id, lower('Café [' || page_id || '](x) **B_c**  ' || regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) || ' ¿?') as t from pages),
+m as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '\*\*(.*?)\*\*|__(.*?)__', '\1\2', 'g'), '\*(.*?)\*|_(.*?)_', '\1\2', 'g'), '`([^`]*)`', '\1', 'g'), '<[^>]+>', '', 'g') as t from h)
+select page_id, regexp_replace(trim(regexp_replace(t, '[^a-z0-9_\t-\r -]', '', 'g'), e' \t\n\r\f\x0b'), '[\t-\r ]+', '-', 'g') as slug from m"""
+
+
+@query("str02_heading_slug", _SLUG)
 def str02_heading_slug(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", text.slug(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("slug"))
+    raw = F.concat(F.lit("Café ["), F.col("page_id").cast("string"), F.lit("](x) **B_c**  "), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), F.lit(" ¿?"))
+    return read(spark, sf_dir, "pages").select("page_id", text.slug(raw).alias("slug"))
 
 
 @query("str03_squeezed", r"select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from conversations")
@@ -469,14 +497,37 @@ def str03_squeezed(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.squeezed(F.col("text")).alias("text"))
 
 
-@query("str06_word_count", r"select conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 1)) as words from conversations")
+@query("str06_word_count", r"select conv_id, turn, len(list_filter(regexp_split_to_array(regexp_replace(text || ' a|bc-de > (x) 汉字 é漢', '[#*`|\->\[\]()]', ' ', 'g'), '\s+'), lambda w: length(w) > 1)) + 3 as words from conversations")
 def str06_word_count(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.words(F.col("text")).alias("words"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.md_words(F.concat("text", F.lit(" a|bc-de > (x) 汉字 é漢"))).alias("words"))
 
 
-@query("str15_file_name", r"""select page_id, coalesce(nullif(left(trim(regexp_replace(url, '[\\/:*?"<>|\x00-\x1f]', '_', 'g')), 40), ''), 'untitled') as name from pages""")
+@query(
+    "str14_dashes",
+    """
+with r as (select p_partkey, case p_partkey % 4 when 0 then ' |' || repeat('—', p_size % 9 + 1) || '| – |' when 1 then '|—|' || p_size || '|' when 2 then '— | —' else '||' end as line from part)
+select p_partkey, case when starts_with(trim(line), '|') and p_partkey % 4 = 0 then '|' || repeat('-', greatest(3, length(regexp_replace(line, '[^—]', '', 'g')))) || '|---|' else line end as line from r""",
+)
+def str14_dashes(spark, sf_dir):
+    kind = F.col("p_partkey") % 4
+    line = F.when(kind == 0, F.concat(F.lit(" |"), F.repeat(F.lit("—"), F.col("p_size") % 9 + 1), F.lit("| – |"))).when(kind == 1, F.concat(F.lit("|—|"), F.col("p_size").cast("string"), F.lit("|"))).when(kind == 2, "— | —").otherwise("||")
+    return read(spark, sf_dir, "part").select("p_partkey", text.dashes(line).alias("line"))
+
+
+@query("str15_file_name", r"""select page_id, coalesce(nullif(left(regexp_replace(trim(regexp_replace('. ' || url || ' ..', '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '^\.+|\.+$', '', 'g'), 40), ''), 'untitled') as name from pages""")
 def str15_file_name(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", text.file_name(F.col("url"), 40).alias("name"))
+    return read(spark, sf_dir, "pages").select("page_id", text.file_name(F.concat(F.lit(". "), F.col("url"), F.lit(" ..")), 40).alias("name"))
+
+
+@query(
+    "str17_quoted",
+    """
+with u as (select page_id, url_encode(url || ' é~*') as e from pages)
+select page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(e, '%2F', '/'), '%3A', ':'), '%3F', '?'), '%23', '#'), '%26', '&'), '%3D', '='), '%40', '@'), '%2B', '+'), '%25', '%') as quoted, url_decode(e) as unquoted from u""",
+)
+def str17_quoted(spark, sf_dir):
+    url = F.concat(F.col("url"), F.lit(" é~*"))
+    return read(spark, sf_dir, "pages").select("page_id", text.quoted(url).alias("quoted"), text.unquoted(text.quoted(url, "")).alias("unquoted"))
 
 
 @query("str16_url_token", r"select page_id, coalesce(nullif(regexp_extract(url, '/(?:wiki|docx|docs)/([A-Za-z0-9]+)', 1), ''), string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1]) as token from pages")
@@ -527,3 +578,46 @@ def str26_unnumbered(spark, sf_dir):
 def jsn09_numeric_share(spark, sf_dir):
     line = F.concat_ws(" ", "event_type", F.col("value").cast("string"), F.col("user_id").cast("string"))
     return read(spark, sf_dir, "events").select("event_id", text.numeric_share(line).alias("share"))
+
+
+@query(
+    "win16_first_in_list",
+    """
+select doc_id, case when regexp_matches(text, '[Ll]icense') then 'license' when regexp_matches(text, '[0-9]{3}') then 'number' when regexp_matches(text, '^[A-Z]') then 'capital' end as label from documents""",
+)
+def win16_first_in_list(spark, sf_dir):
+    found = text.first_match(F.col("text"), [("[Ll]icense", "license"), ("[0-9]{3}", "number"), ("^[A-Z]", "capital")])
+    return read(spark, sf_dir, "documents").select("doc_id", found["label"].alias("label"))
+
+
+@query(
+    "srt07_leftmost",
+    """
+with f as (select conv_id, turn, list_sort(list_filter([
+  case when regexp_matches(text, '[0-9]+') then {'at': length(regexp_extract(text, '(?s)^(.*?)[0-9]+', 1)), 'rank': 0, 'label': 'number', 'match': regexp_extract(text, '[0-9]+', 0)} end,
+  case when regexp_matches(text, '[a-z]+ing') then {'at': length(regexp_extract(text, '(?s)^(.*?)[a-z]+ing', 1)), 'rank': 1, 'label': 'doing', 'match': regexp_extract(text, '[a-z]+ing', 0)} end,
+  case when regexp_matches(text, '[a-z]+') then {'at': length(regexp_extract(text, '(?s)^(.*?)[a-z]+', 1)), 'rank': 2, 'label': 'word', 'match': regexp_extract(text, '[a-z]+', 0)} end], lambda x: x is not null))[1] as b from conversations)
+select conv_id, turn, b['at'] as at, b.label as label, b['match'] as match from f""",
+)
+def srt07_leftmost(spark, sf_dir):
+    best = text.leftmost_match(F.col("text"), [("[0-9]+", "number"), ("[a-z]+ing", "doing"), ("[a-z]+", "word")])
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(F.array(best))).select("conv_id", "turn", "at", "label", "match")
+
+
+@query("srt05_examples", "select l_orderkey, array_to_string(list_transform((list(l_returnflag || l_linestatus || ' ' || l_partkey order by l_linenumber, l_partkey, l_returnflag || l_linestatus))[1:3], lambda x: left(x, 6)), '; ') as shown from lineitem group by 1")
+def srt05_examples(spark, sf_dir):
+    said = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("flags")))), lambda x: F.concat(x["flags"], F.lit(" "), x["l_partkey"].cast("string")))
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(text.examples(said, 3, 6), "; ").alias("shown"))
+
+
+@query(
+    "stm03_first_tool_block",
+    """
+with c as (select l_orderkey, list({'kind': l_returnflag, 'name': l_linestatus, 'n': l_partkey} order by l_linenumber, l_partkey, l_suppkey) as xs from lineitem group by 1),
+f as (select l_orderkey, list_filter(xs, lambda x: x.kind = 'R')[1] as x from c)
+select l_orderkey, case when x is not null then (x.name = 'F' and contains('skill ' || x.n, '7')) or (x.name = 'O' and contains('path ' || x.n, '7')) end as triggered from f""",
+)
+def stm03_first_tool_block(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.col("l_returnflag"), F.col("l_linestatus")).alias("r")))), lambda x: F.struct(
+        F.when(x["r"]["l_returnflag"] == "R", "tool_use").otherwise("text").alias("type"), x["r"]["l_linestatus"].alias("name"), F.create_map(F.lit("skill"), F.concat(F.lit("skill "), x["l_partkey"].cast("string")), F.lit("file_path"), F.concat(F.lit("path "), x["l_partkey"].cast("string"))).alias("input"))).alias("content"))
+    return rows.select("l_orderkey", replay.first_tool_block(F.col("content"), {"F": "skill", "O": "file_path"}, "7").alias("triggered"))

@@ -307,9 +307,11 @@ with r as (select doc_id, quality, row_number() over (partition by quality order
 select doc_id, quality, case when n <= greatest(1, floor(c * 0.4)) then 'test' else 'train' end as split from r""",
 )
 def rl_stratified_holdout(spark, sf_dir):
-    """A share of each class is held out, one row at least; the order is a hash instead of a shuffle."""
-    one = Window.partitionBy("quality")
-    ranked = read(spark, sf_dir, "labels").withColumn("n", F.row_number().over(one.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))).withColumn("c", F.count("*").over(one))
+    """A share of each class is held out, one row at least; the order is a hash instead of a shuffle, and a class is never one task."""
+    from millrace.operators.ordering import class_places
+
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    ranked = class_places(labels, "quality", [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")], "n", "c")
     return ranked.select("doc_id", "quality", F.when(F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("c") * 0.4)), "test").otherwise("train").alias("split"))
 
 
@@ -329,12 +331,42 @@ def srt04_top_k(spark, sf_dir):
 
 @query(
     "srt06_severity_order",
-    """select event_id, event_type, row_number() over (order by case event_type when 'error' then 0 when 'purchase' then 1 when 'signup' then 2 else 3 end, event_id) as place from events where user_id = 7""",
+    """select event_id, event_type, row_number() over (partition by user_id order by case event_type when 'error' then 0 when 'purchase' then 1 when 'signup' then 2 else 3 end, event_id) as place from events""",
 )
 def srt06_severity_order(spark, sf_dir):
     rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(3)
-    some = read(spark, sf_dir, "events").where("user_id = 7").select("event_id", "event_type", "user_id")  # one user
-    return some.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(rank, "event_id"))).drop("user_id")
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    return events.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(rank, "event_id"))).drop("user_id")
+
+
+@query("srt01_path_order", "select o_orderkey, row_number() over (order by 'runs/eval-' || o_orderkey) as place from orders")
+def srt01_path_order(spark, sf_dir):
+    from millrace.operators.ordering import places
+
+    paths = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("runs/eval-"), F.col("o_orderkey").cast("string")).alias("path"))
+    return places(paths, [F.col("path")]).drop("path")
+
+
+@query("srt02_known_first", "select event_id, row_number() over (order by case when event_type <> 'error' then user_id end nulls last, event_id) as place from events")
+def srt02_known_first(spark, sf_dir):
+    from millrace.operators.ordering import places
+
+    runs = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("user_id")).alias("eval_id"))
+    return places(runs, [F.asc_nulls_last("eval_id"), F.col("event_id")]).drop("eval_id")
+
+
+@query("srt12_first_at_once", "select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) > 9 as later from lineitem")
+def srt12_first_at_once(spark, sf_dir):
+    from millrace.operators.ordering import first_at_once
+
+    return first_at_once(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"]).drop("l_suppkey")
+
+
+@query("agg26_counters", "select count(*) filter (where l_returnflag = 'R') as failed, count(*) filter (where l_returnflag <> 'R') as created from lineitem")
+def agg26_counters(spark, sf_dir):
+    lines, seen = stats.observed(read(spark, sf_dir, "lineitem"), failed=F.col("l_returnflag") == "R", created=F.col("l_returnflag") != "R")
+    lines.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["failed"], seen.get["created"])], "failed long, created long")
 
 
 @query("srt08_page", "select p_partkey, p_name, (select count(*) from part) as total, true as has_more, 30 as next_offset from part order by p_partkey limit 10 offset 20")
@@ -358,15 +390,13 @@ def srt11_natural_order(spark, sf_dir):
     return natural_place(names, "name")
 
 
-@query(
-    "srt10_positives_first",
-    """select doc_id, quality, row_number() over (order by quality desc, doc_id) as place, count(*) over (partition by quality) as of_class from labels where doc_id < 300""",
-)
+@query("srt10_positives_first", "select doc_id, quality, row_number() over (order by quality desc, doc_id) as place, count(*) over (partition by quality) as of_class from labels")
 def srt10_positives_first(spark, sf_dir):
     from millrace.operators.ordering import places
 
-    some = read(spark, sf_dir, "labels").where("doc_id < 300").select("doc_id", "quality")
-    return places(some, [F.desc("quality"), F.col("doc_id")], "place").withColumn("of_class", F.count("*").over(Window.partitionBy("quality")))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    sizes = labels.groupBy(F.col("quality").alias("_q")).agg(F.count("*").alias("of_class"))
+    return places(labels, [F.desc("quality"), F.col("doc_id")]).join(sizes, F.col("quality").eqNullSafe(F.col("_q"))).drop("_q")
 
 
 @query(

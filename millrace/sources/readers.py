@@ -33,11 +33,12 @@ def runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     graded = _json(spark, folder, GRADING, "grading.json")
     graded = graded.select("*", F.regexp_extract("path", place, 1).alias("eval"), F.regexp_extract("path", place, 2).alias("config"), F.regexp_extract("path", place, 3).cast("string").alias("run")).where("config <> ''")
     timing = _json(spark, folder, TIMING, "timing.json").where("corrupt is null").select(F.regexp_replace("path", "/[^/]+$", "").alias("folder"), "total_tokens", F.col("total_duration_seconds").alias("side_seconds"))
-    good = graded.where("corrupt is null").withColumn("folder", F.regexp_replace("path", "/[^/]+$", "")).join(timing, "folder", "left")
+    good = graded.where("corrupt is null or summary is not null").withColumn("folder", F.regexp_replace("path", "/[^/]+$", "")).join(timing, "folder", "left")
     inline = F.coalesce("timing.total_duration_seconds", F.lit(0.0))
     use = inline == 0.0
     notes = lambda k: F.coalesce(f"user_notes_summary.{k}", F.array().cast("array<string>"))
     out = good.select(
+        F.regexp_extract("path", "^(.*/eval-[^/]+)/", 1).alias("folder"),
         F.expr("try_cast(eval as bigint)").alias("eval_id"),
         "config",
         F.expr("try_cast(run as bigint)").alias("run_number"),
@@ -62,7 +63,11 @@ def with_eval_id(runs_: DataFrame, metadata: DataFrame) -> DataFrame:
     return runs_.join(names, "folder").join(metadata.select("folder", F.col("eval_id").alias("_meta")), "folder", "left").withColumn("eval_id", F.coalesce("_meta", F.expr("try_cast(regexp_extract(folder, 'eval-([0-9]+)$', 1) as bigint)"), F.col("_place").cast("bigint"))).drop("_meta", "_place")
 
 
-def run_folders(paths: DataFrame, skip: tuple[str, ...] = ("node_modules", ".git", "__pycache__", "skill", "inputs")) -> DataFrame:
+# Folders that are never searched for runs.
+SKIPPED = ("node_modules", ".git", "__pycache__", "skill", "inputs")
+
+
+def run_folders(paths: DataFrame, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
     """Folders that hold an outputs folder; none below another, none below a skipped name."""
     folder = F.regexp_extract("path", r"^(.*?)/outputs(?:/|$)", 1)
     found = paths.select(folder.alias("folder")).where("folder <> ''").distinct()
@@ -75,11 +80,17 @@ def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"), "length")
 
 
+# Suffixes of files that are shown as text.
+TEXTS = ("txt", "md", "json", "csv", "py", "js", "ts", "tsx", "jsx", "yaml", "yml", "xml", "html", "css", "sh", "rb", "go", "rs", "java", "c", "cpp", "h", "hpp", "sql", "r", "toml")
+# Suffixes of images.
+IMAGES = ("png", "jpg", "jpeg", "gif", "svg", "webp")
+
+
 def embedded(spark: SparkSession, folder: str) -> DataFrame:
     """Files by kind: text as text, images as data URIs, others as base64."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.when(suffix.isin("txt", "md", "json", "csv", "py", "js", "html", "xml", "yaml", "yml", "log"), "text").when(suffix.isin("png", "jpg", "jpeg", "gif", "webp", "svg"), "image").when(suffix == "pdf", "pdf").when(suffix.isin("xlsx", "xls"), "sheet").otherwise("binary")
+    kind = F.when(suffix.isin(*TEXTS), "text").when(suffix.isin(*IMAGES), "image").when(suffix == "pdf", "pdf").when(suffix.isin("xlsx", "xls"), "sheet").otherwise("binary")
     mime = F.when(suffix == "svg", "image/svg+xml").when(suffix == "jpg", "image/jpeg").otherwise(F.concat(F.lit("image/"), suffix))
     files = files.withColumn("kind", kind)
     return files.select("path", "kind", "length", F.when(F.col("kind") == "text", F.decode("content", "UTF-8")).alias("text"), F.when(F.col("kind") == "image", F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64("content"))).when(F.col("kind") != "text", F.base64("content")).alias("data"))
@@ -137,7 +148,7 @@ def grep(lines: DataFrame, pattern: str, order: list[str], limit: int) -> DataFr
 
 
 def images(files: DataFrame) -> DataFrame:
-    return files.where(F.col("suffix").isin(".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp"))
+    return files.where(F.col("suffix").isin(*[f".{x}" for x in IMAGES]))
 
 
 def pdf_spans(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
@@ -154,6 +165,26 @@ def pdf_spans(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]]) -> Da
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def page_texts(files: DataFrame, parse: Callable[[bytes], Iterator[str]]) -> DataFrame:
+    """(path, page, text) of paged files, pages from 1, by a parser the caller brings; NULs are taken out."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                texts = [x.replace("\x00", "") for x in parse(bytes(content))]
+                yield pd.DataFrame({"path": path, "page": range(1, len(texts) + 1), "text": texts}).astype({"page": "int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """(path, text): a file's pages in order, each below a line with its number."""
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: F.concat(F.lit("=== PAGE "), p["page"].cast("string"), F.lit(" ===\n"), p["text"], F.lit("\n\n")))
+    return pages.groupBy("path").agg(F.array_join(shown, "").alias("text"))
+
+
 class PagedSource(DataSource):
     """A paged service as a source: option `fetch` names a function module:name(root, cursor) -> (rows, next cursor or None); `roots` are read in parallel."""
 

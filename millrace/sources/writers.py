@@ -38,7 +38,11 @@ def snapshot(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def replace_state(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap by renames of the target's own file system; readers see the old or the new state."""
+    """Write beside the target, then swap by two renames of the target's own file system.
+
+    A reader sees the old or the new state, or for the moment between the renames none; it never sees a half-written one.
+    If the second rename fails the old state comes back.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

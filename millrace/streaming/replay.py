@@ -37,54 +37,98 @@ def dedupe_stream(events: DataFrame, key: str, time: str, late: str = "10 minute
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def decide(events: DataFrame, key: str, order: str, kind: str, candidate: str, body: str, accept: Column, stops: list[str]) -> DataFrame:
-    """(key, decision) by a fold over each key's events in order.
+class Machine:
+    """waiting -> pending at a candidate that is accepted -> yes or no.
 
-    waiting -> candidate (its body follows in pieces) -> accepted if the gathered body is accepted; the first other
-    candidate, or a stop, decides for no. Events after the decision change nothing.
+    A candidate that is not accepted, and a stop while waiting, decide for no. The body of a pending candidate follows
+    in pieces. Without a needle a stop then decides for yes; with one, the body does: yes as soon as it holds the
+    needle, no at a stop before. Events after the decision change nothing. Of the body only its length and what a
+    needle may still begin in are kept.
+    """
+
+    def __init__(self, candidate: str, stops: list[str], needle: str | None) -> None:
+        self.candidate, self.stops, self.needle = candidate, set(stops), needle
+
+    def step(self, state: tuple[str, int, str], what: str, body: str, accepted: bool) -> tuple[str, int, str]:
+        name, n, tail = state
+        if name in ("yes", "no"):
+            return state
+        if what == self.candidate:
+            if not accepted:
+                return "no", n, ""
+            name, n, tail = "pending", 0, ""
+        elif what in self.stops:
+            return ("yes" if name == "pending" and self.needle is None else "no"), n, ""
+        elif name == "waiting":
+            return state
+        n, tail = n + len(body), tail + body
+        if self.needle is not None and self.needle in tail:
+            return "yes", n, ""
+        return name, n, tail[-max(0, len(self.needle) - 1) :] if self.needle and len(self.needle) > 1 else ""
+
+
+SAID = {"yes": "accepted", "no": "rejected"}
+
+
+def decide(events: DataFrame, key: str, order: str, kind: str, candidate: str, body: str, accept: Column, stops: list[str], needle: str | None = None) -> DataFrame:
+    """(key, decision, gathered) by the state machine over each key's events in order; gathered is the length of the last body.
+
+    Keys are folded as streams of sorted rows, so a key of any length needs the memory of one batch.
+    """
+    from millrace.operators.sequence import fold_sorted
+
+    machine = Machine(candidate, stops, needle)
+    rows = events.select(key, order, F.col(kind).alias("_k"), F.coalesce(F.col(body), F.lit("")).alias("_b"), F.coalesce(accept, F.lit(False)).alias("_a"))
+
+    def step(state, frame):
+        state = state or ("waiting", 0, "")
+        for what, piece, accepted in zip(frame["_k"], frame["_b"], frame["_a"], strict=True):
+            state = machine.step(state, what, piece, accepted)
+        return state
+
+    kinds = dict(events.dtypes)
+    return fold_sorted(rows, [key], [order], step, lambda k, state: [(*k, SAID.get(state[0], "open"), state[1])], f"{key} {kinds[key]}, decision string, gathered int")
+
+
+def decide_stream(events: DataFrame, key: str, order: str, kind: str, candidate: str, body: str, accept: Column, stops: list[str], needle: str | None = None, timeout_ms: int | None = 30_000) -> DataFrame:
+    """The same machine over a stream: (key, decision, gathered), one row when a key is decided or its time (None: no limit) is out.
+
+    Within a micro-batch a key's events are taken in order; its state goes on from batch to batch.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("k"), F.coalesce(F.col(body), F.lit("")).alias("b"), accept.alias("a"))))
-    state = F.struct(F.lit("waiting").alias("s"), F.lit("").alias("buffer"))
-
-    def step(st: Column, e: Column) -> Column:
-        waiting, pending = st["s"] == "waiting", st["s"] == "pending"
-        grown = F.concat(st["buffer"], e["b"])
-        to = lambda name, text: F.struct(F.lit(name).alias("s"), text.alias("buffer"))
-        return (
-            F.when(waiting & (e["k"] == candidate), F.when(e["a"], to("pending", e["b"])).otherwise(to("no", st["buffer"])))
-            .when(waiting & e["k"].isin(stops), to("no", st["buffer"]))
-            .when(pending & e["k"].isin(stops), to("yes", st["buffer"]))
-            .when(pending, to("pending", grown))
-            .otherwise(st)
-        )
-
-    end = F.aggregate(items, state, step)
-    return events.groupBy(key).agg(end.alias("_e")).select(key, F.when(F.col("_e.s") == "yes", "accepted").when(F.col("_e.s") == "no", "rejected").otherwise("open").alias("decision"), F.length("_e.buffer").alias("gathered"))
-
-
-def decide_stream(events: DataFrame, key: str, kind: str, candidate: str, stops: list[str], timeout_ms: int | None = 30_000) -> DataFrame:
-    """The state machine over a stream: (key, decision), one row when a key is decided or its time (None: no limit) is out."""
     import pandas as pd
 
-    key_type = dict(events.dtypes)[key]
+    machine = Machine(candidate, stops, needle)
+    rows = events.select(key, order, F.col(kind).alias("_k"), F.coalesce(F.col(body), F.lit("")).alias("_b"), F.coalesce(accept, F.lit(False)).alias("_a"))
+    names = [key, "decision", "gathered"]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = tuple(state.get) if state.exists else ("waiting", 0, "")
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "decision": ["timeout"]})
+            if now[0] not in SAID:
+                yield pd.DataFrame([(k[0], "timeout", now[1])], columns=names)
             return
-        now = state.get[0] if state.exists else "waiting"
-        if now == "done":
-            return
-        for frame in frames:
-            for what in frame.sort_values("event_id")[kind] if "event_id" in frame else frame[kind]:
-                if now == "waiting" and what == candidate:
-                    now = "pending"
-                elif what in stops and now != "done":
-                    yield pd.DataFrame({key: [k[0]], "decision": ["accepted" if now == "pending" else "rejected"]})
-                    now = "done"
-        state.update((now,))
-        if now != "done" and timeout_ms is not None:
+        done = now[0] in SAID
+        for what, piece, accepted in pd.concat(list(frames)).sort_values(order)[["_k", "_b", "_a"]].itertuples(index=False):
+            now = machine.step(now, what, piece, accepted)
+        state.update(now)
+        if now[0] in SAID:
+            if not done:
+                yield pd.DataFrame([(k[0], SAID[now[0]], now[1])], columns=names)
+        elif timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, decision string", "now string", "append", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")
+    schema = f"{key} {dict(events.dtypes)[key]}, decision string, gathered int"
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "name string, gathered int, tail string", "append", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")
+
+
+def first_tool_block(content: Column, tools: dict[str, str], needle: str) -> Column:
+    """Whether the first tool_use block of a message (an array of type, name, input: a map) names the needle in its tool's field.
+
+    tools: the field of each tool that counts. Later blocks do not matter; null if there is no tool_use block.
+    """
+    first = F.try_element_at(F.filter(content, lambda c: c["type"] == "tool_use"), F.lit(1))
+    hit = F.lit(False)
+    for name, field in tools.items():
+        hit = hit | ((first["name"] == name) & F.coalesce(F.contains(F.try_element_at(first["input"], F.lit(field)), F.lit(needle)), F.lit(False)))
+    return F.when(first.isNotNull(), hit)

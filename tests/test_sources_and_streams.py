@@ -103,7 +103,7 @@ def test_state_machine_stream_equals_batch(spark, tmp_path):
     batch = {r.user: r.decision for r in replay.decide(df, "user", "event_id", "kind", "click", "body", F.lit(True), ["error"]).collect() if r.decision != "open"}
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = replay.decide_stream(stream, "user", "kind", "click", ["error"], None).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = replay.decide_stream(stream, "user", "event_id", "kind", "click", "body", F.lit(True), ["error"], None, None).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert {r.user: r.decision for r in spark.table("decided").collect()} == batch == {"a": "accepted", "b": "rejected"}
 
@@ -117,3 +117,39 @@ def test_paged_source(spark):
     spark.dataSource.register(readers.PagedSource)
     got = spark.read.format("paged").option("roots", "x,y").option("fetch", "tests.test_sources_and_streams:fetch").load()
     assert got.count() == 12
+
+
+def test_state_machine_looks_for_the_needle_and_leaves_early(spark, tmp_path):
+    rows = [
+        ("yes", 1, "start", "", True), ("yes", 2, "piece", "ab", True), ("yes", 3, "piece", "cd", True), ("yes", 4, "stop", "", True), ("no", 1, "start", "", True), ("no", 2, "piece", "ab", True), ("no", 3, "stop", "", True), ("wrong", 1, "start", "", False),
+        ("wrong", 2, "start", "bc", True), ("again", 1, "start", "a", True), ("again", 2, "start", "", True), ("again", 3, "piece", "bc", True), ("open", 1, "start", "b", True), ("early", 1, "stop", "", True), (None, 1, "start", "xbcx", True),
+    ]
+    df = spark.createDataFrame(rows, "user string, n int, kind string, body string, ok boolean").repartition(3)
+    want = {"yes": "accepted", "no": "rejected", "wrong": "rejected", "again": "accepted", "open": "open", "early": "rejected", None: "accepted"}
+    arguments = ("user", "n", "kind", "start", "body", F.col("ok"), ["stop"], "bc")
+    assert {r.user: r.decision for r in replay.decide(df, *arguments).collect()} == want
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = replay.decide_stream(stream, *arguments, None).writeStream.format("memory").queryName("needles").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert {r.user: r.decision for r in spark.table("needles").collect()} == {k: v for k, v in want.items() if v != "open"}
+
+
+def test_folders_ids_embedding_and_pages(spark, tmp_path):
+    for name in ("eval-3", "eval-x"):
+        (tmp_path / name / "c" / "run-1").mkdir(parents=True)
+        (tmp_path / name / "c" / "run-1" / "grading.json").write_text(json.dumps({"summary": {"passed": 1, "failed": 0, "total": 1, "pass_rate": 1.0}}))
+    good, _ = readers.runs(spark, str(tmp_path))
+    folders = sorted(r.folder for r in good.collect())
+    meta = spark.createDataFrame([(folders[1], 77)], "folder string, eval_id long")
+    assert {r.folder[-6:]: r.eval_id for r in readers.with_eval_id(good, meta).collect()} == {"eval-3": 3, "eval-x": 77}
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.toml").write_text("x")
+    (tmp_path / "f" / "b.svg").write_text("<svg/>")
+    (tmp_path / "f" / "c.pdf").write_bytes(b"one\x00\x0ctwo")
+    got = {r.path[-5:]: (r.kind, r.text or r.data) for r in readers.embedded(spark, str(tmp_path / "f")).collect()}
+    assert got["a.toml"[-5:]] == ("text", "x") and got["b.svg"] == ("image", "data:image/svg+xml;base64,PHN2Zy8+") and got["c.pdf"][0] == "pdf"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(str(tmp_path / "f"))
+    pages = readers.page_texts(files, lambda content: content.decode().split("\x0c"))
+    assert sorted((r.page, r.text) for r in pages.collect()) == [(1, "one"), (2, "two")]
+    assert readers.joined_pages(pages).first().text == "=== PAGE 1 ===\none\n\n=== PAGE 2 ===\ntwo\n\n"
