@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +16,12 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The shared folder of spark.checkpoint.dir. A local session that names none gets one; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
     return context.getCheckpointDir()
 
@@ -27,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, in one place for all operators."""
+    return df.mapInArrow(f, schema)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle and checkpoint files of tables that nothing refers to any more.
 
@@ -43,6 +53,40 @@ def join_ids(df: DataFrame, ids: DataFrame, on: str, rows: int | None = None, li
     return df.join(F.broadcast(ids) if rows <= limit else ids.hint("merge"), on)
 
 
+#: Name of the column that keyed() adds.
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs plus KEY, a long that tells rows apart: the id where just one row has it, else a number outside the ids.
+
+    Rows that repeat an id, or have none, are numbered by two hashes over all their columns (128 bits; maps are left
+    out), so rows share a key only if they are alike in every column and one is as good as another. Ids that are all
+    distinct cost one aggregation of the ids; only the others are joined, by broadcast if they are few (counted).
+    """
+    key = F.col(id_col).cast("long")
+    rows = docs.withColumn(KEY, key)
+    ids = docs.select(key.alias(KEY))
+    odd = cut(ids.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col(KEY).isNull() | (F.col("n") > 1)).select(KEY))
+    n = odd.count()
+    if not n:
+        return rows
+    low, high = ids.agg(F.min(KEY), F.max(KEY)).first()
+    up = (high or 0) < 1 << 62
+    if not up and low < -(1 << 62):
+        raise ValueError(f"{id_col} leaves no room for the numbers of repeated rows")
+    base, sign = (max(high or 0, 0) + 1, 1) if up else (min(low, 0) - 1, -1)
+    odd = odd.where(F.col(KEY).isNotNull())
+    odd = F.broadcast(odd) if n <= BROADCAST_ROWS else odd.hint("merge")
+    alone = rows.where(F.col(KEY).isNotNull()).join(odd, KEY, "left_anti")
+    told = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    again = rows.where(F.col(KEY).isNull()).unionByName(rows.join(odd, KEY, "left_semi").select(*rows.columns))
+    again = again.withColumns({"_h1": F.xxhash64(*told), "_h2": F.xxhash64(F.lit("second"), *told)})
+    number = cut(again.select("_h1", "_h2").distinct().withColumn("_n", F.monotonically_increasing_id()))
+    again = again.join(number, ["_h1", "_h2"]).withColumn(KEY, F.lit(base) + F.lit(sign) * F.col("_n"))
+    return alone.select(*rows.columns).unionByName(again.select(*rows.columns))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
