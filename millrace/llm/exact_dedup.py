@@ -7,13 +7,13 @@ ordinary shuffle, where the largest group is at most 2 / (capacity + 1) of the r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BROADCAST_ROWS, cut
+from millrace.llm.shared import BROADCAST_ROWS, KEY, cut, keyed
 
 #: Counters in each Misra-Gries summary, and rows that are broadcast.
 CAPACITY = 256
@@ -47,8 +47,8 @@ def frequent(df: DataFrame, column: str, capacity: int = CAPACITY) -> DataFrame:
     return one.groupBy(column).agg(F.sum("at_least").alias("at_least")).orderBy(F.desc("at_least"), column).limit(capacity)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256).
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_col: str | None = None) -> DataFrame:
+    """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256), and key_col if it is named.
 
     Texts are equal if they are identical without the characters [\\x20\\x09-\\x0D]; the digest is the SHA-256 of what
     is left. Of equal texts the row with the most code points stays, then the smallest id, then any one of rows that
@@ -62,6 +62,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.unhex(F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256)).alias("digest"),
             F.length(text).alias("n_chars"),
             F.monotonically_increasing_id().alias("row"),
+            *([F.col(key_col)] if key_col else []),
         )
     )
     place = F.struct("n_chars", (-F.col("doc_id")).alias("doc_id"), (-F.col("row")).alias("row"))
@@ -78,21 +79,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "group_size",
         (F.col("row") == -F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *([F.col(key_col)] if key_col else []),
     )
 
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that verdicts (id, kept) drops; all columns stay.
+def keep_rows(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows that judge drops; all columns stay.
 
-    The dropped ids are broadcast if they are few (counted), else joined by shuffle. Of rows that repeat a kept id
-    one stays. Rows without an id stay, as a verdict cannot name them.
+    judge gets the rows with a column KEY that tells them apart, also where they repeat an id or have none, and
+    returns (KEY, kept) for each. Of rows that are alike in every column and share a key, one stays if only some are
+    kept. The dropped keys are broadcast if they are few (counted), else joined by shuffle.
     """
-    per_id = verdicts.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col("kept").cast("int")).alias("any"), F.min(F.col("kept").cast("int")).alias("all"))
-    odd = cut(per_id.where("all = 0"))
-    sizes = odd.groupBy("any").count().collect()  # two rows at most
-    n = {r["any"]: r["count"] for r in sizes}
+    rows = keyed(docs, id_col)
+    per_key = judge(rows).groupBy(KEY).agg(F.max(F.col("kept").cast("int")).alias("some"), F.min(F.col("kept").cast("int")).alias("all"))
+    odd = cut(per_key.where("all = 0"))
+    n = {r["some"]: r["count"] for r in odd.groupBy("some").count().collect()}  # two rows at most
     hinted = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
-    out = docs.join(hinted(odd.select(id_col), sum(n.values())), id_col, "left_anti")
-    if n.get(1):  # ids of which one row stays and others go
-        out = out.unionByName(docs.join(hinted(odd.where("any = 1").select(id_col), n[1]), id_col, "left_semi").dropDuplicates([id_col]))
-    return out.select(*docs.columns)
+    out = rows.join(hinted(odd.select(KEY), sum(n.values())), KEY, "left_anti").select(*rows.columns)
+    if n.get(1):  # keys of which one row stays and others go
+        out = out.unionByName(rows.join(hinted(odd.where("some = 1").select(KEY), n[1]), KEY, "left_semi").dropDuplicates([KEY]).select(*rows.columns))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
