@@ -103,7 +103,7 @@ levels as (
   from caps window below as (order by ratio, encode(source) nulls last rows between unbounded preceding and 1 preceding)),
 found as (select level from levels where level <= ratio order by ratio, encode(source) nulls last limit 1),
 goals as (select source, source_size, least(cap, coalesce((select level from found), 'inf'::double) * weight) as target from levels),
-scale as (select greatest(64, ceil(sum(target) / 2147483648))::bigint as block from goals),
+scale as (select 64::bigint as block),
 quotas as (
   select *, ((source_size + block - 1) // block) as blocks,
     case when source_size > 0 then target * ((source_size + block - 1) // block) / source_size else 0.0::double end as quota from goals, scale),
