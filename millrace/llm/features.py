@@ -47,6 +47,8 @@ def grams(out: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[in
     yield (mix(np.add.reduceat(body, starts)) >> shift).astype(np.int64), np.arange(len(starts))
     blanks = np.cumsum(~inside)
     for n in sizes:  # at least 3
+        if len(out) < n:
+            continue
         rolled = np.full(len(out) - n + 1, np.uint64(n))
         for j in range(n):
             rolled = rolled * _PRIME + code[j : len(out) - n + 1 + j]
@@ -54,11 +56,17 @@ def grams(out: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[in
         yield (mix(rolled[good]) >> shift).astype(np.int64), word[good + 1]  # between its ends an n-gram has letters only
 
 
-def sums(out: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], table: np.ndarray) -> np.ndarray:
-    """For each word the sum of its features' rows of `table`."""
+def sums(out: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], table: np.ndarray, room: int = 1 << 20) -> np.ndarray:
+    """For each word the sum of its features' rows of `table`; so many bytes at a time that `room` numbers hold their rows."""
     total = np.zeros((len(starts), *table.shape[1:]), table.dtype)
-    for ids, of in grams(out, starts, ends, sizes, len(table).bit_length() - 1):
-        if len(ids):
-            first = np.flatnonzero(np.diff(of, prepend=-1))
-            total[of[first]] += np.add.reduceat(table[ids], first)
+    bits, step = len(table).bit_length() - 1, max(1, room // (table[0].size if len(table) else 1))
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + step, "right")))
+        low = starts[a] - 1  # a word stands between bytes that are no letters
+        for ids, of in grams(out[low : ends[b - 1] + 1], starts[a:b] - low, ends[a:b] - low, sizes, bits):
+            if len(ids):
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                total[a + of[first]] += np.add.reduceat(table[ids], first)
+        a = b
     return total
