@@ -12,16 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.features import grams, letters, sums, words
-from millrace.llm.shared import crc_mod
+from millrace.llm.shared import crc_mod, map_arrow
 from millrace.llm.words import chunks
 
 #: Hashed weights, sizes of the n-grams, labelled rows of each class to learn from at most, and steps.
 BITS, SIZES = 17, (4, 6)
-ROWS = 1500
+ROWS, MOST_CHARS = 1500, 200_000
+#: Values of the hash that draws them.
+SPAN = 1 << 62
 STEPS = 160
 RATE, SHRINK = 0.2, 0.03
 #: Share of toxic texts that training assumes, whatever the sample's.
@@ -63,6 +65,13 @@ def noisy_or(z: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, weights=-np.logaddexp(0, z), minlength=n)
 
 
+def bag_slope(z: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The slope of each bag's negative log-likelihood in the logits of its sentences."""
+    none = np.minimum(noisy_or(z, owner, len(y)), -1e-9)  # log of the chance that no sentence is toxic
+    down = np.where(y == 1, -np.exp(none) / -np.expm1(none), 1.0)
+    return down[owner] / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> tuple[np.ndarray, float]:
     """(weights, bias) by full-batch Adam on the bags' negative log-likelihood, classes weighed by PRIOR.
 
@@ -107,10 +116,7 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> tuple[np.nd
     for t in range(1, steps + 1):
         value = np.bincount(rows, weights=theta[ids], minlength=n_types)
         z = np.bincount(sentence, weights=value[kind], minlength=n_sentences) + theta[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        none = np.minimum(noisy_or(z, owner, len(y)), -1e-9)  # log of Q
-        down = np.where(y == 1, -np.exp(none) / -np.expm1(none), 1.0) * weigh
-        slope = down[owner] * p
+        slope = bag_slope(z, owner, y) * weigh[owner]
         by_type = np.bincount(kind, weights=slope[sentence], minlength=n_types)
         g = np.append(np.bincount(ids, weights=by_type[rows], minlength=len(used)), slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -122,13 +128,21 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> tuple[np.nd
 
 
 def sample(docs: DataFrame, labels: DataFrame, fold: int, of: int, rows: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most about `rows` rows of each class (a hash of the id picks them), never of the held-out fold."""
+    """Texts and labels of `rows` rows of each class at most, those of the least hashes of their ids, never of the held-out fold.
+
+    Texts of over MOST_CHARS characters are not learned from; of rows that repeat an id one is.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), of) != fold))
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, rows / max(1, n.get(1, 0))).otherwise(rows / max(1, n.get(0, 0)))
-    picked = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), id_col).limit(2 * rows)
-    got = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), id_col).select(id_col, "text", "y").toPandas()
+    # a hash of 62 bits thins a class out to about twice `rows` at any size; the least of the hashes are the sample
+    drawn = F.xxhash64(F.lit("toxicity"), F.col(id_col).cast("string")).bitwiseAND(SPAN - 1)
+    bound = {y: int(min(1.0, 2.0 * (rows + 8) / c) * SPAN) for y, c in n.items()}
+    picked = known.withColumn("_drawn", drawn).where(F.col("_drawn") <= F.when(F.col("y") == 1, bound.get(1, 0)).otherwise(bound.get(0, 0)))
+    picked = picked.withColumn("_r", F.row_number().over(Window.partitionBy("y").orderBy("_drawn", id_col))).where(F.col("_r") <= rows).select(id_col, "y")
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("_h")).where(F.length("text") <= MOST_CHARS)
+    got = texts.join(F.broadcast(picked), id_col)  # 2 * rows short rows at most
+    got = got.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy("_h", "text"))).where("_r = 1").select(id_col, "text", "y").toPandas()
     got = got.sort_values([id_col, "text"])
     return got["text"].tolist(), got["y"].tolist()
 
@@ -141,7 +155,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
         for batch in batches:
             scores, worst = np.zeros(len(batch)), np.zeros(len(batch))
             place = np.full((len(batch), 2), -1)
-            for a, e, data, offsets in chunks(batch.column(1), 1 << 20):
+            for a, e, data, offsets in chunks(batch.column(1)):
                 b = bags(data, offsets)
                 z = np.bincount(b.sentence, weights=sums(b.out, b.starts, b.ends, SIZES, table.value), minlength=len(b.text)) + bias
                 scores[a:e] = -np.expm1(noisy_or(z, b.text, e - a))
@@ -151,7 +165,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
                 place[a + b.text[last]] = b.span[last] - offsets[b.text[last]][:, None]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scores, 0, 1)), pa.array(worst), pa.array(place[:, 0]), pa.array(place[:, 1])], ["doc_id", "score", "sentence", "start", "end"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, sentence double, start long, end long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, score double, sentence double, start long, end long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 0, of: int = 5, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
