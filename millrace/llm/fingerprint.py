@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import map_arrow
 from millrace.llm.words import mix, shingle_sets
 
 BINS, BITS, WIDTH = 256, 8, 5
@@ -94,35 +95,50 @@ def text_fingerprints(texts: list[str], width: int = WIDTH, bins: int = BINS, bi
 
 
 def in_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, text, run, tail) dealt into runs of neighbouring ids, each run sorted by descending id within a partition.
+    """Rows (doc_id, text, run, tail) dealt into runs of neighbours, by descending id, then by descending hash of the text.
 
     A run's last row is its tail: the head of the next run (of the first for the last), which is only looked at. Run
-    borders are quantiles of the ids, so they hold no text and are as many as there are runs. One shuffle of the texts.
+    borders are quantiles of the ids; an id with many rows (or no id) is split by equal ranges of the hash. Borders hold
+    no text and are as many as there are runs. One shuffle of the texts. Only rows alike in id and text stay together.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("place"))
     ids = rows.select("doc_id")
-    runs = max(1, min(MOST_RUNS, ids.count() // ROWS_A_RUN))
-    borders = np.unique(np.array(ids.approxQuantile("doc_id", [i / runs for i in range(1, runs)], 0.2 / runs) if runs > 1 else [], np.float64).astype(np.int64))
+    n = ids.count()
+    runs = max(1, min(MOST_RUNS, n // ROWS_A_RUN))
+    size = max(ROWS_A_RUN, -(-n // MOST_RUNS))
+    borders = [(int(x), NO_ID) for x in (ids.approxQuantile("doc_id", [i / runs for i in range(1, runs)], 0.2 / runs) if runs > 1 else [])]
+    for r in ids.groupBy("doc_id").count().where(F.col("count") > 2 * size).collect():  # MOST_RUNS rows at most
+        parts = -(-r["count"] // size)
+        borders += [(r["doc_id"], NO_ID + j * 2**64 // parts) for j in range(parts)]
+    borders = sorted(set(borders))
+    at, of = np.array([b[0] for b in borders], np.int64), np.array([b[1] for b in borders], np.int64)
 
     @F.pandas_udf("int")
-    def run_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series((len(borders) - np.searchsorted(borders, doc_id.to_numpy(np.int64), "right")).astype(np.int32))
-
-    heads = ids.withColumn("run", run_of("doc_id")).groupBy("run").agg(F.max("doc_id").alias("head")).orderBy("run").collect()  # a row for each run
-    before = [(h["head"], heads[i - 1]["run"]) for i, h in enumerate(heads)]  # the last run looks at the first one's head
-    before = docs.sparkSession.createDataFrame(before, "doc_id long, before int")
-    placed = rows.withColumn("run", run_of("doc_id")).join(F.broadcast(before), "doc_id", "left")
+    def run_of(doc_id: pd.Series, place: pd.Series) -> pd.Series:
+        x, y = doc_id.to_numpy(np.int64), place.to_numpy(np.int64)
+        low, high = np.searchsorted(at, x, "left"), np.searchsorted(at, x, "right")
+        for a in np.unique(low[high - low > 1]):
+            own = (low == a) & (high - low > 1)
+            high[own] = a + np.searchsorted(of[a : high[own][0]], y[own], "right")
+        return pd.Series((len(at) - high).astype(np.int32))
+
+    heads = rows.select("doc_id", "place").withColumn("run", run_of("doc_id", "place")).groupBy("run").agg(F.max(F.struct("doc_id", "place")).alias("head")).orderBy("run").collect()  # a row for each run
+    before = [(*h["head"], heads[i - 1]["run"]) for i, h in enumerate(heads)]  # the last run looks at the first one's head
+    before = docs.sparkSession.createDataFrame(before, "doc_id long, place long, before int")
+    placed = rows.withColumn("run", run_of("doc_id", "place")).join(F.broadcast(before), ["doc_id", "place"], "left")
     own = F.struct(F.col("run").alias("run"), F.lit(False).alias("tail"))
     also = F.when(F.col("before").isNotNull(), F.array(own, F.struct(F.col("before").alias("run"), F.lit(True).alias("tail")))).otherwise(F.array(own))
-    placed = placed.select("doc_id", "text", F.inline(also).alias("run", "tail"))
-    return placed.repartition("run").sortWithinPartitions("run", "tail", F.col("doc_id").desc(), "text").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    placed = placed.select("doc_id", "place", "text", F.inline(also).alias("run", "tail"))
+    placed = placed.repartition("run").sortWithinPartitions("run", "tail", F.col("doc_id").desc(), F.col("place").desc(), "text")
+    return placed.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "run", "tail")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """One row per row of docs: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    The next document is that of the next smaller id (of the largest for the smallest; of equal ids the next text by
-    code point; rows without an id come last); the edited text has its last floor(n_chars / 3) code points replaced by
+    The next document is that of the next smaller id (of the largest for the smallest; of equal ids that of the next
+    smaller hash of the text; rows without an id come last); the edited text has its last floor(n_chars / 3) code points replaced by
     the first as many of the next. Fingerprints are base64 of the packed bits and "" for a text without words, null
     and empty texts alike. Other columns are not read; an empty table gives no rows; a lone row is its own next.
     """
@@ -158,4 +174,4 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if len(kept) > 1:
                 yield from work(kept)
                 kept = kept[-1:]
-    return in_runs(docs, id_col, text_col).select("doc_id", "text", "run", "tail").mapInArrow(run, kinds)
+    return map_arrow(in_runs(docs, id_col, text_col).select("doc_id", "text", "run", "tail"), run, kinds)
