@@ -6,8 +6,8 @@ alphabets, each part of it without the one pair, the other or both. Its encoding
 occur. For that encoding's alphabet
 the battery takes the chi-squared statistic of uniformity, the runs of one class and the correlation of neighbours.
 Against chance each has a z score; a candidate that is far from random in sum is left alone. Against natural text
-(letters of uneven frequency, classes that rarely change) the first two have p-values, which fall with the length of
-the candidate; they are combined by Fisher's method and held to a false-discovery rate by Benjamini and Hochberg
+(letters of uneven frequency, classes that rarely change, vowels and other letters that take turns) each of the three
+has a p-value, which falls with the length of the candidate; they are combined by Fisher's method and held to a false-discovery rate by Benjamini and Hochberg
 within bands of length, over all candidates of the corpus.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import cut
+from millrace.llm.shared import cut, map_arrow
 from millrace.llm.words import chunks, spans
 
 KINDS = ("assign", "access", "hex", "random")
@@ -34,6 +34,8 @@ SHORTEST, LONG = 16, 32
 RATE, LEAST = 0.01, 1e-3
 #: Of natural strings: the chance that two letters are the same, and that the class changes from one character to the next.
 SAME_LETTER, CHANGE = 0.062, 0.15
+#: Of natural strings: the chance that a vowel and another letter stand side by side; pairs of letters that are needed to test it.
+TURN, PAIRS = 0.6, 8
 #: Bands of length by powers of two, and bins of -log10 p.
 BANDS, BINS, BIN = 12, 400, 0.25
 
@@ -46,6 +48,8 @@ _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz")] = 2
 _CLASS[list(b"0123456789")] = 3
 _CLASS[list(b"+/=_-")] = 4
+_VOWEL = np.zeros(256, bool)
+_VOWEL[list(b"aeiouAEIOU")] = True
 _ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
@@ -103,8 +107,16 @@ def battery(token: str) -> tuple[float, float]:
     z_serial = serial * math.sqrt(n - 1)
     x = z_chi**2 + z_runs**2 + z_serial**2
     p_random = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)  # chi-squared, 3 degrees
-    fisher = -2 * (math.log(max(p_chi, 1e-300)) + math.log(max(p_runs, 1e-300)))
-    p_natural = math.exp(-fisher / 2) * (1 + fisher / 2)  # chi-squared, 4 degrees
+    half = -math.log(max(p_chi, 1e-300)) - math.log(max(p_runs, 1e-300))
+    p_natural = math.exp(-half) * (1 + half)  # chi-squared, 4 degrees
+    letter = kinds < 3
+    pair = letter[1:] & letter[:-1]
+    if (m := int(pair.sum())) >= PAIRS:  # vowels and others take turns in words, not by chance
+        vowel = _VOWEL[np.frombuffer(body.encode(), np.uint8)]
+        turns = int((vowel[1:] != vowel[:-1])[pair].sum())
+        p_serial = _upper_tail(-(turns + 0.5 - m * TURN) / math.sqrt(m * TURN * (1 - TURN)))
+        half -= math.log(max(p_serial, 1e-300))
+        p_natural = math.exp(-half) * (1 + half + half * half / 2)  # chi-squared, 6 degrees
     return p_natural, p_random
 
 
@@ -193,7 +205,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     scanned each; other columns are not read; an empty table gives no rows.
     """
     kinds = "doc_id long, base array<struct<start:long,end:long,kind:int>>, tests array<struct<start:long,end:long,band:int,bin:int>>"
-    seen = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, kinds))
+    seen = cut(map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _scan, kinds))
     least = discovered(seen, rate)
     limits = F.array(*(F.lit(least.get(b, BINS + 1)) for b in range(BANDS)))
     hit = F.filter("tests", lambda t: (t["bin"] >= F.element_at(limits, t["band"] + 1)) & ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
