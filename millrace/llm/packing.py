@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,44 +20,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import cut
+from millrace.llm.shared import cut, map_arrow
 
 CAPACITY, END = 1024, 2
 #: Pieces in a shard (about), islands of a shard, packings on an island, epochs, and children an epoch.
 SHARD, ISLANDS, POPULATION, EPOCHS, CHILDREN = 8192, 3, 4, 3, 8
+#: Documents that are tokenised before their pieces are handed on, and tasks that evolve islands at most.
+ROWS, TASKS = 256, 30_000
+
+
+def byte_ranks(told: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a parsed tokenizer file as bytes -> id; None unless it is byte-level BPE without options that change its ids."""
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    simple = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not told.get("normalizer")
+    if not simple or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in told.get("added_tokens", [])):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {x["content"] for x in told.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> ids of the tokenizer file at `path` without special tokens added.
+def encoder(path: str, quick: bool) -> Callable[[str], np.ndarray]:
+    """text -> ids (uint32) of the tokenizer file at `path` without special tokens added.
 
-    A byte-level BPE file without options that change its ids is run by the faster of two libraries, from the
-    vocabulary in that file; any other file by the tokenizers library.
+    quick: by tiktoken from the vocabulary in that file (byte-level BPE only), else by the tokenizers library. A
+    process loads one of the two.
     """
-    from tokenizers import Tokenizer
+    if not quick:
+        from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
-    slow = lambda text: plain.encode(text, add_special_tokens=False).ids
-    with open(path, encoding="utf-8") as f:
-        told = json.load(f)
-    model, before = told["model"], told.get("pre_tokenizer") or {}
-    simple = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not told.get("normalizer")
-    if not simple or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
-        return slow
+        plain = Tokenizer.from_file(path)
+        return lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
     import tiktoken
 
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100 on
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
     special = {x["content"]: x["id"] for x in told.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    quick = tiktoken.Encoding("file", pat_str=words, mergeable_ranks=ranks, special_tokens=special)
+    bpe = tiktoken.Encoding("file", pat_str=words, mergeable_ranks=byte_ranks(told), special_tokens=special)
+    return lambda text: bpe.encode_to_numpy(text, allowed_special="all" if any(s in text for s in special) else set(), disallowed_special=())
 
-    def fast(text: str) -> list[int]:
-        return quick.encode(text, allowed_special="all") if any(s in text for s in special) else quick.encode_ordinary(text)
 
-    probe = "Naïve words, 12 numbers\n  and \t'll <|marks|> größer ééé 日本 🙂"
-    return fast if fast(probe) == slow(probe) else slow
+#: Strings that two tokenizers of one file must split alike before the quicker one is trusted with it.
+PROBES = (
+    "Naïve words, 12 numbers\n  and \t'll <|marks|> größer ééé 日本 🙂", "", " ", "\n\n  x\r\n", "<|endoftext|>a <|endoftext|>", "don't DON'T we'll I'd they've y'all's", "a\u00a0b\u2003c\u3000d", "١٢٣ ½ ² Ⅳ 1,234.5e-6",
+    "e\u0301 a\u030a ﬁ Å", "{\"key\": [1, null, true]}  # comment", "def f(x):\n\treturn x ** 2\n", "👩‍👩‍👧‍👦🇩🇪", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "Ünïcödé ÑANDÚ straße", "\u200b\ufeff\x00\x7f", "<|endoftext",
+)
+
+
+@functools.lru_cache(maxsize=2)
+def quick_is_right(path: str) -> bool:
+    """Whether the file is of the kind that the quicker library runs, and both libraries give the same ids for PROBES."""
+    with open(path, encoding="utf-8") as f:
+        if byte_ranks(json.load(f)) is None:
+            return False
+    slow, fast = encoder(path, False), encoder(path, True)
+    encoder.cache_clear()
+    return all(np.array_equal(slow(x), fast(x)) for x in PROBES)
 
 
 def cut_points(n: int, capacity: int) -> list[int]:
@@ -68,22 +91,35 @@ def cut_points(n: int, capacity: int) -> list[int]:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each document's ids followed by `end`."""
+    quick = quick_is_right(tokenizer)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+
+    def some(batch: pa.RecordBatch, encode: Callable[[str], np.ndarray]) -> pa.RecordBatch:
+        row, piece, start, length, crc, held = [], [], [], [], [], []
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
+            starts = cut_points(len(ids), capacity)
+            ends = [*starts[1:], len(ids)]
+            row += [k] * len(starts)
+            piece += range(len(starts))
+            start += starts
+            length += [e - s for s, e in zip(starts, ends, strict=True)]
+            crc += [zlib.crc32(ids[s:e]) for s, e in zip(starts, ends, strict=True)]
+            if with_ids:
+                held.append(ids)
+        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.concatenate(held).astype(np.int64))))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, quick)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end], "<u4")
-                starts = cut_points(len(ids), capacity)
-                for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    out.append((doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].tolist()] if with_ids else [])))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            columns = list(zip(*out, strict=True)) if out else [()] * (5 + with_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+            for at in range(0, len(batch), ROWS):
+                yield some(batch.slice(at, ROWS), encode)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 class Packing:
@@ -191,8 +227,12 @@ def _join(genes: list[np.ndarray]) -> bytes:
     return np.stack(genes).astype(np.int32).tobytes()
 
 
-def shards(items: DataFrame, capacity: int, epochs: int = EPOCHS) -> DataFrame:
-    """(shard, pos, bin, offset) for items (shard, pos, length), pos counting from 0 within a shard."""
+def shards(items: DataFrame, capacity: int, of: int, epochs: int = EPOCHS) -> DataFrame:
+    """(shard, pos, bin, offset) for items (shard, pos, length) of `of` shards, pos counting from 0 within a shard.
+
+    Each island of each shard has a task of its own, up to TASKS of them.
+    """
+    tasks = min(TASKS, of * ISLANDS)
     packed = items.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("pos", "length")))["length"].alias("sizes"))
     state = packed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.lit(None).cast("binary").alias("genes"), F.lit(None).cast("binary").alias("guest"))
     for epoch in range(epochs):
@@ -208,7 +248,7 @@ def shards(items: DataFrame, capacity: int, epochs: int = EPOCHS) -> DataFrame:
                     rows.append((r.shard, r.island, r.sizes, _join(best), best[0].tobytes(), int(best[0].max()) + 1))
                 yield pd.DataFrame(rows, columns=["shard", "island", "sizes", "genes", "elite", "bins"])
 
-        state = state.repartition("shard", "island").select("shard", "island", "sizes", "genes", "guest").mapInPandas(run, "shard long, island int, sizes array<long>, genes binary, elite binary, bins int")
+        state = state.repartitionById(tasks, F.pmod(F.col("shard") * ISLANDS + F.col("island"), F.lit(tasks)).cast("int")).select("shard", "island", "sizes", "genes", "guest").mapInPandas(run, "shard long, island int, sizes array<long>, genes binary, elite binary, bins int")
         state = cut(state)
         guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("guest"))
         if epoch + 1 < epochs:
@@ -241,7 +281,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     of = max(1, round(n / shard))
     some = rows.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(of)))
     some = cut(some.withColumn("pos", (F.row_number().over(Window.partitionBy("shard").orderBy("row")) - 1).cast("long")))  # shards are of bounded size
-    placed = some.join(shards(some.select("shard", "pos", "length"), capacity), ["shard", "pos"])
+    placed = some.join(shards(some.select("shard", "pos", "length"), capacity, of), ["shard", "pos"])
     placed = placed.withColumn("sequence_id", F.col("shard") * F.lit(1 << 20) + F.col("bin"))
     whole = rows.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
