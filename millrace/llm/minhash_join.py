@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BROADCAST_ROWS, components, cut, tidy
+from millrace.llm.shared import BROADCAST_ROWS, components, cut, map_arrow, tidy
 from millrace.llm.words import mix, shingle_sets
 
 #: Signature coordinates and equal ones that make a candidate: a pair at similarity 0.8 is missed once in a million.
 COORDINATES, MATCHES = 32, 14
 #: Rounds of tests against one member of each posting before the rest is joined pair by pair.
 ROUNDS = 2
+#: A key with over HOT rows, and over a HOT_KEYS-th of all, is joined by broadcast: HOT_KEYS short rows at most.
+HOT, HOT_KEYS = 1000, 100_000
 #: Counts of shingles by hash that order the sets in that join.
 SLOTS = 1 << 18
 
@@ -66,7 +68,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordina
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
+
+
+def by_key(rows: DataFrame, picked: DataFrame, bar: int, key: str = "key") -> DataFrame:
+    """rows joined with picked (key, df, ...), a row per key with its number of rows: keys of over `bar` rows never meet in one task."""
+    hot = picked.where(F.col("df") > bar)
+    if not hot.limit(1).count():
+        return rows.join(picked, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(picked.where(F.col("df") <= bar), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -82,7 +93,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("a", "b", "one", "other"), run, "a long, b long")
 
 
 def overlapping(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -103,7 +114,7 @@ def overlapping(texts: DataFrame, width: int, percent: int) -> DataFrame:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["slot", "n"])
 
-    counts = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS short rows at most
+    counts = map_arrow(texts.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS short rows at most
     often = np.zeros(SLOTS, np.int64)
     often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     table = texts.sparkSession.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))
@@ -124,9 +135,9 @@ def overlapping(texts: DataFrame, width: int, percent: int) -> DataFrame:
             put = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), put(sizes), put(places), put(tokens)], ["rep", "comp", "n", "place", "token"])
 
-    posts = cut(texts.select("doc_id", "comp", "text").mapInArrow(post, "rep long, comp long, n long, place long, token long"))
-    met = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    posts = posts.join(met, "token")
+    posts = cut(map_arrow(texts.select("doc_id", "comp", "text"), post, "rep long, comp long, n long, place long, token long"))
+    met = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    posts = cut(by_key(posts, cut(met.select("token", "df")), max(HOT, posts.count() // HOT_KEYS), "token"))
     side = lambda x: posts.select("token", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
     least = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
     return side("a").join(side("b"), "token").where(f"a > b and ca <> cb and pa <= na - {least} + 1 and pb <= nb - {least} + 1").select("a", "b").distinct()
@@ -145,13 +156,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(signatures(docs, id_col, text_col, width, coordinates))
     reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     reps = cut(reps)
+    bar = max(HOT, reps.count() * coordinates // HOT_KEYS)
     key = (F.col("pos").cast("long") * F.lit(1 << 32) + F.col("value").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("key")
     postings = reps.select("rep", F.posexplode("sig").alias("pos", "value")).select("rep", key)
-    shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    live = postings.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("live"))  # `coordinates` entries at most
-    live = live.where(F.size("live") >= matches).select("rep", F.slice("live", F.lit(1), F.size("live") - (matches - 1))["key"].alias("keys"))
+    shared = cut(postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    live = by_key(postings, shared, bar).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("live"))  # `coordinates` entries at most
+    live = live.where(F.size("live") >= matches).select("rep", F.slice("live", F.lit(1), F.size("live") - (matches - 1)).alias("keys"))
     dense = cut(live.join(reps.select("rep", "n", "sig"), "rep"))
-    prefix = dense.select("rep", F.explode("keys").alias("key"))
+    prefix = dense.select("rep", F.inline("keys"))
 
     count = dense.count()
     ids = dense.select(F.col("rep").alias("doc_id"))
@@ -166,27 +178,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.unionByName(found)
         return components(links)
 
-    def hub(now: DataFrame, pick: str) -> DataFrame:
-        """Each member of a posting with one of its members, if their signatures agree well."""
-        first = now.groupBy("key").agg(F.min(F.expr(pick)).alias("hub"))
-        pairs = now.join(first, "key").where("comp <> hub.comp").select("rep", F.col("hub.rep").alias("other")).distinct()
+    def near_hub(now: DataFrame) -> DataFrame:
+        """Each member of a posting with its hub, if their signatures agree well."""
+        pairs = now.where("comp <> hub.comp").select("rep", F.col("hub.rep").alias("other")).distinct()
         pairs = pairs.join(dense.select("rep", F.col("n").alias("na"), F.col("sig").alias("sa")), "rep").join(dense.select(F.col("rep").alias("other"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "other")
         return pairs.where(alike).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
 
     label = None
     for k in range(ROUNDS + 1 if count else 0):
-        now = prefix.select("key", "rep", F.col("rep").alias("comp"))
+        now = prefix.withColumn("comp", F.col("rep"))
         if label is not None:
-            now = now.drop("comp").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        now = cut(now)
-        open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        now = cut(now.join(open_, "key"))
-        del open_
-        tidy(docs.sparkSession)
-        if not now.limit(1).count():
+            now = prefix.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "df", "key", F.coalesce("component", "rep").alias("comp"))
+            now = cut(now)
+        pick = "struct(rep, comp)" if k == 0 else f"struct(xxhash64(rep, key, {k}), rep, comp)"
+        open_ = now.groupBy("key").agg(F.max("df").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.expr(pick)).alias("hub")).where("low < high")
+        open_ = cut(open_.select("key", "df", "hub"))
+        if not open_.limit(1).count():
             break
+        now = by_key(now.drop("df"), open_, bar)
+        tidy(docs.sparkSession)
         if k < ROUNDS:
-            label = tested(hub(now, "struct(rep, comp)" if k == 0 else f"struct(xxhash64(rep, key, {k}), rep, comp)"))
+            label = tested(near_hub(now))
         else:
             rest = cut(now.select(F.col("rep").alias("doc_id"), "comp").distinct())
             few = rest.count() <= BROADCAST_ROWS
