@@ -32,8 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch at most, unless the session sets a limit of its own: rows hold whole texts.
+BATCH, _LIMIT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow, in one place for all operators."""
+    """df.mapInArrow with batches of BATCH bytes, as the JVM and its Python worker each hold some of them."""
+    if _LIMIT not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(_LIMIT, BATCH)
     return df.mapInArrow(f, schema)
 
 
