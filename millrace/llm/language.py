@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.features import grams, letters, sums, words
-from millrace.llm.shared import BROADCAST_ROWS, crc_mod, cut, map_arrow
+from millrace.llm.shared import BROADCAST_ROWS, crc_mod, cut, map_arrow, tidy
 from millrace.llm.words import chunks
 
 #: Hashed weights, sizes of the n-grams; labelled rows to learn from (over all languages), and characters of each at most.
@@ -237,7 +237,9 @@ def sample(docs: DataFrame, training: Column, rows: int, id_col: str, text_col:
 
 def learn(docs: DataFrame, fold: int = 1, of: int = 3, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """A model for label(), from rows with a language whose crc32(id as text) mod `of` is not `fold`."""
-    return train(*sample(docs, F.coalesce(crc_mod(F.col(id_col), of) != fold, F.lit(False)), rows, id_col, text_col, lang_col))
+    model = train(*sample(docs, F.coalesce(crc_mod(F.col(id_col), of) != fold, F.lit(False)), rows, id_col, text_col, lang_col))
+    tidy(docs.sparkSession)
+    return model
 
 
 def label(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nonlocal links
         found = cut(confirm(pairs, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
         links = found if links is None else links.unionByName(found)
-        return components(links)
+        return components(links, few=BROADCAST_ROWS)
 
     def near_hub(now: DataFrame) -> DataFrame:
         """Each member of a posting with its hub, if their signatures agree well."""

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BROADCAST_ROWS, KEY, cut, keyed
+from millrace.llm.shared import BROADCAST_ROWS, KEY, cut, keyed, tidy
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -176,6 +176,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = keyed(docs, id_col)
     mixed = _mixed(rows, id_col, text_col, source_col, weights, share, block, KEY)
     times = cut(copies(mixed).groupBy(KEY).agg(F.sum("times").cast("int").alias("_times"), F.count("*").alias("_rows")).where("_times <> _rows"))
+    tidy(docs.sparkSession)
     many = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times.hint("merge")
     placed = rows.join(many, KEY, "left").withColumns({"_times": F.coalesce("_times", F.lit(1)), "_rows": F.coalesce("_rows", F.lit(1))})
     alike = placed.where("_rows > 1").dropDuplicates([KEY])  # rows that share a key are alike: one of them stands for all

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +46,34 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def trim(spark: SparkSession) -> None:
+    """Give back to the system what the driver's Python and its JVM have freed; without glibc, or without that command, nothing happens.
+
+    glibc keeps what numpy and the JVM's compilers have freed, and a long session plans and compiles many queries.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(Exception):  # a JVM before 17.0.9, or no JVM in reach
+        jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+        name = jvm.java.lang.Class.forName
+        kinds, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = name(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        name("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle and checkpoint files of tables that nothing refers to any more.
+    """Let Spark delete the shuffle and checkpoint files of tables that nothing refers to any more, and trim() the driver.
 
     Spark deletes them when the driver collects its garbage, which a driver with little to do may put off for the
-    whole of an iteration; on many partitions those files are what fills the disks.
+    whole of an iteration; on many partitions those files are what fills the disks. A whole collection also shrinks
+    the driver's heap to what it holds.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
 
 
 def join_ids(df: DataFrame, ids: DataFrame, on: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -98,9 +121,29 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _settled(edges: DataFrame) -> DataFrame:
+    """components() of distinct edges of longs that fit into one task: roots hook to the least of their neighbours' roots until none is left to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+        nodes, at = np.unique(np.concatenate(ends, 1) if ends else np.zeros((2, 0), np.int64), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while len(open_ := np.flatnonzero(root[a] != root[b])):
+            x, y = root[a[open_]], root[b[open_]]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(root, up := root[root]):
+                root = up
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+
+    return cut(map_arrow(edges.select("u", "v").coalesce(1), run, "node long, component long"))
+
+
+def components(edges: DataFrame, most_rounds: int = 60, few: int = 0) -> DataFrame:
     """(node, component) of every node in edges (u, v): component is the smallest node it reaches.
 
+    Up to `few` distinct edges of longs (counted) are settled in one task, which spares the driver the rounds' plans.
+
     Alternating large-star and small-star rounds: each edge set is rewritten towards the smallest neighbour until
     it stops changing. Only minima are aggregated (map-side first), so a hub with very many neighbours costs one
     row per task; the joins back to a hub are of the kind that adaptive execution splits. Nulls and self-loops are
@@ -110,6 +153,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     now = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
     now, before = cut(now), None
+    if few and now.count() <= few:
+        return _settled(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing names."""
 
+import contextlib
 import hashlib
 import random
 import re
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import exact_dedup, features, fingerprint, language, license_scan, minhash_join, mixing, packing, queries, secret_scan, toxicity, url_filter
+from millrace.llm import exact_dedup, features, fingerprint, language, license_scan, minhash_join, mixing, packing, queries, secret_scan, shared, toxicity, url_filter
 from millrace.llm.shared import KEY, components, keyed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, digest string, size long, key long, run int, comp long"
@@ -94,6 +95,33 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
 
 
+def test_components_in_one_task_are_those_of_the_rounds(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(10, 400)] + [(10**15 - i, 10**15) for i in range(1, 90)] + [(rng.randrange(2000) * 7 + 1000, rng.randrange(2000) * 7 + 1000) for _ in range(1500)] + [(7, 7), (None, 3), (201, 200)]
+    edges = spark.createDataFrame(edges, "u long, v long")
+    rows = components(edges, few=10_000).collect()
+    assert sorted(rows) == sorted(components(edges, few=10).collect()) and len({r.node for r in rows}) == len(rows)
+    assert components(edges.limit(0), few=10_000).count() == 0
+
+
+def test_few_links_cost_the_driver_few_jobs(spark):
+    texts = make_texts(60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("few links", "")
+    rows = minhash_join.near_duplicates(docs, width=2).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(linked(texts, 2))) and jobs <= 145, jobs  # 173 by rounds
+
+
+def test_trim_reaches_the_jvm(spark, monkeypatch):
+    version = tuple(int(x) for x in re.findall(r"\d+", spark._jvm.System.getProperty("java.version"))[:3])
+    if version < (17, 0, 9):
+        pytest.skip("the JVM has no such command")
+    monkeypatch.setattr(shared.contextlib, "suppress", lambda *_: contextlib.nullcontext())  # what it passes over elsewhere is an error here
+    shared.trim(spark)
+
+
 def test_exact_duplicates(spark, odd, none):
     texts = ["a b", "ab", "a  b", "", None, " ", "c", "c"]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=2).collect()}
